@@ -1,0 +1 @@
+"""No streaming operator belongs to the dialect this engine covers; the folder is kept for extensions."""
