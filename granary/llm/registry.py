@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import common, quality_rules, secret_scan
+from granary.llm import chat_format, common, quality_rules, secret_scan, source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +30,20 @@ def op1_quality_rules(spark, sf_dir):
 @query
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_source_mixing(spark, sf_dir):
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_source_mixing"] = source_mixing.SQL
+
+
+@query
+def op10_chat_format(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digests(chat_format.format_turns(turns.unionByName(chat_format.escape_probe(turns))))
+
+
+SQL["op10_chat_format"] = chat_format.SQL
