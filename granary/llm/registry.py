@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, common, quality_rules, secret_scan, source_mixing
+from granary.llm import chat_format, common, jaccard_join, quality_rules, secret_scan, source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -47,3 +47,8 @@ def op10_chat_format(spark, sf_dir):
 
 
 SQL["op10_chat_format"] = chat_format.SQL
+
+
+@query
+def op5_jaccard_join(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
