@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import chat_format, common, jaccard_join, quality_rules, secret_scan, source_mixing
+from granary.llm import bin_packing, chat_format, common, jaccard_join, quality_rules, secret_scan, source_mixing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -17,6 +17,13 @@ def query(f):
     return f
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file is; executors have the same package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     common.tune(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -52,3 +59,8 @@ SQL["op10_chat_format"] = chat_format.SQL
 @query
 def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_bin_packing(spark, sf_dir):
+    return bin_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
