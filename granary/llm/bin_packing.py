@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import documents, written
+from granary.llm.common import Recent, documents, written
 
 PIECES = "item long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,33 +47,22 @@ class Parameters:
     well_filled: float = 0.98
 
 
-class ChunkIds(dict):
+class ChunkIds(Recent):
     """Token ids, as bytes, of stretches of text between spaces.
 
-    White space is a border for this tokenizer, so a text's ids are those of its stretches. Recent and former entries
-    are kept in two dictionaries of bounded size.
+    White space is a border for this tokenizer, so a text's ids are those of its stretches.
     """
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.limit, self.former = Tokenizer.from_file(path), limit, {}
+        self.tokenizer = Tokenizer.from_file(path)
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, chunk: bytes) -> bytes:
-        found = self.former.get(chunk)
-        if found is None:
-            found = self.compute(chunk)
-        if len(chunk) < 64:
-            if len(self) >= self.limit:
-                self.former = dict(self)
-                self.clear()
-            self[chunk] = found
-        return found
-
     def compute(self, chunk: bytes) -> bytes:
         """A letter before closing punctuation is a border too, but for contractions."""
         core = chunk.rstrip(b".,!?*$%&#:;")

@@ -64,6 +64,27 @@ def map_batches(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dic
     return df.mapInArrow(run, out)
 
 
+class Recent(dict):
+    """Results of compute() by key: those since the last change of generation, and the generation before. Long keys aren't kept."""
+
+    def __init__(self, limit: int = 300_000, longest: int = 64):
+        self.limit, self.longest, self.former = limit, longest, {}
+
+    def compute(self, key: bytes):
+        raise NotImplementedError
+
+    def __missing__(self, key: bytes):
+        found = self.former.get(key)
+        if found is None:
+            found = self.compute(key)
+        if len(key) < self.longest:
+            if len(self) >= self.limit:
+                self.former = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 def byte_words(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text as UTF-8. bytes.split() parts at just these six characters."""
     return text.encode().split() if text else []

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bin_packing, chat_format, common, jaccard_join, quality_rules, secret_scan, source_mixing
+from granary.llm import bin_packing, chat_format, common, hamming_search, jaccard_join, quality_rules, secret_scan, source_mixing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -64,3 +64,17 @@ def op5_jaccard_join(spark, sf_dir):
 @query
 def op4_bin_packing(spark, sf_dir):
     return bin_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query
+def op2_hamming_search(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return hamming_search.top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+SQL["op2_hamming_search"] = hamming_search.SQL
+
+
+@query
+def op3_token_counts(spark, sf_dir):
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
