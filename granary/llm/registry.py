@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bin_packing, chat_format, common, hamming_search, jaccard_join, quality_rules, secret_scan, source_mixing, token_counts
+from granary.llm import bin_packing, chat_format, common, hamming_search, jaccard_join, perplexity, quality_rules, secret_scan, source_mixing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -78,3 +78,8 @@ SQL["op2_hamming_search"] = hamming_search.SQL
 @query
 def op3_token_counts(spark, sf_dir):
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query
+def op7_perplexity(spark, sf_dir):
+    return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
