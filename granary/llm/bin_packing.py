@@ -15,6 +15,8 @@ Other columns are ignored. Runs agree: item numbers are written once, and all ra
 from __future__ import annotations
 
 import os
+import struct
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -47,33 +49,51 @@ class Parameters:
     well_filled: float = 0.98
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others follow U+0100."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class ChunkIds(Recent):
     """Token ids, as bytes, of stretches of text between spaces.
 
-    White space is a border for this tokenizer, so a text's ids are those of its stretches.
+    White space is a border for this tokenizer, so a text's ids are those of its stretches. A stretch of letters is one word to its
+    model, which then needs no further preparation than lower case and byte letters; all else takes the tokenizer's full way.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        super().__init__(400_000)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
 
-    def encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def word(self, text: str) -> bytes:
+        """Ids of a stretch of letters."""
+        return struct.pack(f"<{len(found)}I", *[t.id for t in found]) if (found := self.model.tokenize(text)) else b""
 
     def compute(self, chunk: bytes) -> bytes:
-        """A letter before closing punctuation is a border too, but for contractions."""
+        """A letter before closing punctuation is a border, too, but for contractions."""
+        if chunk.isalpha() and chunk.islower():
+            return self.word(chunk.decode())
         core = chunk.rstrip(b".,!?*$%&#:;")
-        if core and core != chunk and b"'" not in chunk and b"<|" not in chunk and core.decode()[-1].isalpha():
-            return self[core] + self[chunk[len(core) :]]
-        if not chunk.islower() and b"<|" not in chunk and (low := chunk.lower()) != chunk:
-            return self[low]
-        return self.encode(chunk.decode())
+        text = core.decode()
+        if text.isalpha() and text.lower().isalpha() and b"'" not in chunk:
+            if core != chunk:
+                return self[core] + self[chunk[len(core) :]]
+            if unicodedata.is_normalized("NFC", text) and text == text.lower() and not text.isascii():
+                return self.word(core.decode("latin-1").translate(self.letters))
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, text.encode().split())) if text else b""
+        if not text:
+            return b""
+        data = text.encode()
+        # the names of special tokens are looked for before letters are lowered
+        return b"".join(map(self.__getitem__, (data if b"<|" in data else data.lower()).split()))
 
 
 _CHUNKS: dict[str, ChunkIds] = {}

@@ -3,8 +3,8 @@
 The join follows set relations, after a reduction that every document passes through in bounded pieces:
 
 1. Equal sets are one class (a 64-bit fingerprint of the sorted shingles); copies are never compared.
-2. Shingles are dealt to buckets by their hash, packed per task. A bucket counts in how many classes each shingle is and
-   drops those of one class only: they can't be common to two sets. The others go back to their class.
+2. Shingles are dealt to buckets by their hash, packed per task, each set once a pack. A bucket counts in how many sets each
+   shingle is and drops those of one set only: they can't be common to two. The others go back to their pack.
 3. A class whose shared shingles are under the threshold's part of its size can't link with any other and leaves. The rest is
    kept as a core: its shared shingles, rarest first. A class stands in the lists of its first core shingles (prefix filter).
 4. Classes that share a list form candidate groups (contracting star rounds over lists and classes; no pairs are made).
@@ -28,6 +28,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,9 +37,9 @@ from granary.llm.common import documents, map_batches, window_hashes, written
 WIDTH = 5
 #: Sets link at intersection / union >= NUM / DEN.
 NUM, DEN = 4, 5
-#: Shingles that a map task packs before it sends them on; shingles to a bucket; bytes of shared shingles to a doc part.
+#: Shingles that a map task packs before it sends them on; shingles to a bucket; classes and bytes that one group task holds.
 FLUSH = 3_000_000
-BUCKET_SHINGLES = 500_000
+BUCKET_SHINGLES = 2_000_000
 GROUP_ROWS = 4096
 GROUP_BYTES = 64_000_000
 _KNOWN_WORDS = 1_000_000
@@ -97,31 +98,49 @@ def _runs(x: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(x[1:] != x[:-1]) + 1, [len(x)]]) if len(x) else np.zeros(1, np.int64)
 
 
-def _packed(found: DataFrame, n_buckets: int) -> DataFrame:
-    """bucket, and the classes, their numbers of shingles there and the shingles (upper 48 bits), packed per task."""
-    schema = pa.schema([("bucket", pa.int32()), ("fps", pa.binary()), ("counts", pa.binary()), ("shingles", pa.binary())])
+def _small(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes as the largest needs; the reader knows how many there are."""
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.uint32) if x.max() <= np.iinfo(t).max)).tobytes()
 
-    def flush(sets: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        fps = np.fromiter(sets, np.uint64, len(sets))
+
+def _from_small(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(data, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(data) // n])
+
+
+PACKED = "bucket int, pack long, runs int, places binary, counts binary, values binary"
+
+
+def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
+    """Shingles (upper 48 bits) by bucket, packed: a pack holds the distinct sets that a task has met since its last one.
+
+    A row has the places of sets in the pack, their numbers of shingles in the bucket, and these. One row per pack, with a bucket
+    below 0, has the fingerprints and sizes of its sets.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("runs", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("values", pa.binary())])
+
+    def flush(pack: int, sets: dict[int, np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets.values()], np.int64)
+        out = {"bucket": [-1 - pack % n_buckets], "pack": [pack], "runs": [len(sets)], "places": [b""], "counts": [sizes.astype(np.uint32).tobytes()],
+               "values": [np.fromiter(sets, np.uint64, len(sets)).tobytes()]}
         every = np.concatenate(list(sets.values())) >> np.uint64(16)
-        owner = np.repeat(np.arange(len(fps)), sizes)
+        owner = np.repeat(np.arange(len(sizes)), sizes)
         bucket = (every % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         every, owner, bucket = every[order], owner[order], bucket[order]
         six = every.view(np.uint8).reshape(-1, 8)[:, :6]
         at = _runs(bucket)
-        out = defaultdict(list)
         for a, b in zip(at[:-1], at[1:], strict=True):
             inner = _runs(owner[a:b])
             out["bucket"].append(int(bucket[a]))
-            out["fps"].append(fps[owner[a:b][inner[:-1]]].tobytes())
-            out["counts"].append(np.diff(inner).astype(np.uint32).tobytes())
-            out["shingles"].append(six[a:b].tobytes())
-        yield _emit(schema, **out)
+            out["pack"].append(pack)
+            out["runs"].append(len(inner) - 1)
+            out["places"].append(_small(owner[a:b][inner[:-1]]))
+            out["counts"].append(_small(np.diff(inner)))
+            out["values"].append(six[a:b].tobytes())
+        return _emit(schema, **out)
 
     def run(batches):
-        known, sets, total = WordHashes(), {}, 0
+        known, sets, total, pack = WordHashes(), {}, 0, TaskContext.get().partitionId() << 24
         for batch in batches:
             for text in batch["text"].to_pylist():
                 s = shingles(text, known)
@@ -129,12 +148,12 @@ def _packed(found: DataFrame, n_buckets: int) -> DataFrame:
                     sets[fp] = s
                     total += len(s)
                 if total >= FLUSH:
-                    yield from flush(sets)
-                    sets, total = {}, 0
+                    yield flush(pack, sets)
+                    sets, total, pack = {}, 0, pack + 1
         if sets:
-            yield from flush(sets)
+            yield flush(pack, sets)
 
-    return documents(found, "text").mapInArrow(run, "bucket int, fps binary, counts binary, shingles binary")
+    return documents(docs, "text").mapInArrow(run, PACKED)
 
 
 def _read_six(data: bytes) -> np.ndarray:
@@ -144,87 +163,84 @@ def _read_six(data: bytes) -> np.ndarray:
     return out.reshape(-1).view(np.uint64)
 
 
-def _shared(packed: DataFrame, n_buckets: int, n_parts: int, partitions: int) -> DataFrame:
-    """part, classes and words (shingle << 16 | number of classes, at most 65535) of all shingles in two or more classes."""
-    schema = pa.schema([("part", pa.int32()), ("fps", pa.binary()), ("words", pa.binary())])
-
-    def count(fps: list, found: list) -> Iterator[pa.RecordBatch]:
-        fp, h = np.concatenate(fps), np.concatenate(found)
-        order = np.lexsort((fp, h))
-        fp, h = fp[order], h[order]
-        new = np.append(True, (h[1:] != h[:-1]) | (fp[1:] != fp[:-1]))
-        fp, h = fp[new], h[new]
-        at = _runs(h)
-        n = np.repeat(np.diff(at), np.diff(at))
-        fp, words = fp[n > 1], h[n > 1] << np.uint64(16) | np.minimum(n[n > 1], 65535).astype(np.uint64)
-        part = (fp % np.uint64(n_parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        fp, words, part = fp[order], words[order], part[order]
-        at = _runs(part)
-        spans = list(zip(at[:-1], at[1:], strict=True)) if len(part) else []
-        yield _emit(schema, part=[int(part[a]) for a, _ in spans], fps=[fp[a:b].tobytes() for a, b in spans], words=[words[a:b].tobytes() for a, b in spans])
+def _shared(packed: DataFrame, partitions: int) -> DataFrame:
+    """The shingles that two or more sets have, back by pack: places, and words (shingle << 16 | number of sets, at most 65535).
+
+    Copies in different packs count as sets here; that keeps more than needed, never less. Rows with sizes pass on the packs' heads.
+    """
+    schema = pa.schema([("pack", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
+
+    def count(rows: list) -> pa.RecordBatch:
+        h = np.concatenate([_read_six(v) for *_, v in rows])
+        row = np.repeat(np.arange(len(rows)), [len(v) // 6 for *_, v in rows])
+        place = np.concatenate([np.repeat(_from_small(p, n), _from_small(c, n)) for _, n, p, c, _ in rows]).astype(np.uint32)
+        order = np.argsort(h, kind="stable")
+        n = np.diff(_runs(h[order]))
+        sets = np.empty(len(h), np.int64)
+        sets[order] = np.repeat(n, n)
+        shared = sets > 1
+        words = h[shared] << np.uint64(16) | np.minimum(sets[shared], 65535).astype(np.uint64)
+        row, place = row[shared], place[shared]
+        at = _runs(row)
+        spans = list(zip(at[:-1], at[1:], strict=True)) if len(row) else []
+        return _emit(schema, pack=[rows[row[a]][0] for a, _ in spans], places=[place[a:b].tobytes() for a, b in spans], sizes=[None] * len(spans), words=[words[a:b].tobytes() for a, b in spans])
 
     def run(batches):
-        now, fps, found = None, [], []
+        now, rows = None, []
         for batch in batches:
-            for bucket, f, c, s in zip(*(batch[k].to_pylist() for k in ("bucket", "fps", "counts", "shingles")), strict=True):
-                if bucket != now and fps:
-                    yield from count(fps, found)
-                    fps, found = [], []
+            for bucket, *row in zip(*(batch[k].to_pylist() for k in ("bucket", "pack", "runs", "places", "counts", "values")), strict=True):
+                if bucket != now and rows:
+                    yield count(rows)
+                    rows = []
                 now = bucket
-                fps.append(np.repeat(np.frombuffer(f, np.uint64), np.frombuffer(c, np.uint32)))
-                found.append(_read_six(s))
-        if fps:
-            yield from count(fps, found)
+                if bucket < 0:
+                    yield _emit(schema, pack=[row[0]], places=[None], sizes=[row[3]], words=[row[4]])
+                else:
+                    rows.append(row)
+        if rows:
+            yield count(rows)
 
     dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(run, "part int, fps binary, words binary")
+    return dealt.mapInArrow(run, "pack long, places binary, sizes binary, words binary")
 
 
-def _cores(shared: DataFrame, classes: DataFrame, n_parts: int, partitions: int) -> DataFrame:
-    """fp, n, first (smallest doc_id) and core of the classes that may link with others. core: 48-bit shingles, rarest first."""
-    heads = classes.filter("n_shingles > 0").select(
-        F.expr(f"cast(pmod(cast(conv(hex(fp), 16, 10) as decimal(20, 0)), {n_parts}) as int)").alias("part"), "fp", F.col("n_shingles").alias("n"), "first",
-    )
-    none = F.lit(None)
-    rows = heads.select("part", "fp", "n", "first", none.cast("binary").alias("fps"), none.cast("binary").alias("words")).unionByName(
-        shared.select("part", none.cast("long").alias("fp"), none.cast("long").alias("n"), none.cast("long").alias("first"), "fps", "words")
-    )
-    schema = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("first", pa.int64()), ("core", pa.binary())])
+def _cores(shared: DataFrame, partitions: int) -> DataFrame:
+    """fp, n and core of the sets that may link with others, at least once each. core: 48-bit shingles, fewest sets first."""
+    schema = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("core", pa.binary())])
 
-    def settle(heads: list, fps: list, words: list) -> Iterator[pa.RecordBatch]:
-        if not fps or not heads:
+    def settle(heads: tuple | None, places: list, words: list) -> Iterator[pa.RecordBatch]:
+        if not heads or not places:
             return
-        fp, w = np.concatenate(fps), np.concatenate(words)
-        order = np.lexsort((w >> np.uint64(16), w & np.uint64(65535), fp))
-        fp, w = fp[order], w[order] >> np.uint64(16)
-        at = _runs(fp)
-        sizes = {h[0]: h for h in heads}
+        fps, sizes = heads
+        place, w = np.concatenate(places), np.concatenate(words)
+        order = np.lexsort((w >> np.uint64(16), w & np.uint64(65535), place))
+        place, w = place[order], w[order] >> np.uint64(16)
+        at = _runs(place)
         out = defaultdict(list)
         for a, b in zip(at[:-1], at[1:], strict=True):
-            own, n, first = sizes[int(fp[a : a + 1].view(np.int64)[0])]
+            n = int(sizes[place[a]])
             if b - a >= -(-NUM * n // DEN):
-                for k, v in (("fp", own), ("n", n), ("first", first), ("core", w[a:b].tobytes())):
+                for k, v in (("fp", int(fps[place[a]])), ("n", n), ("core", w[a:b].tobytes())):
                     out[k].append(v)
         if out:
             yield _emit(schema, **out)
 
     def run(batches):
-        now, heads, fps, words = None, [], [], []
+        now, heads, places, words = None, None, [], []
         for batch in batches:
-            for part, fp, n, first, f, w in zip(*(batch[k].to_pylist() for k in ("part", "fp", "n", "first", "fps", "words")), strict=True):
-                if part != now:
-                    yield from settle(heads, fps, words)
-                    now, heads, fps, words = part, [], [], []
-                if f is None:
-                    heads.append((fp, n, first))
+            for pack, p, sizes, w in zip(*(batch[k].to_pylist() for k in ("pack", "places", "sizes", "words")), strict=True):
+                if pack != now:
+                    yield from settle(heads, places, words)
+                    now, heads, places, words = pack, None, [], []
+                if sizes is not None:
+                    heads = np.frombuffer(w, np.int64), np.frombuffer(sizes, np.uint32)
                 else:
-                    fps.append(np.frombuffer(f, np.uint64))
+                    places.append(np.frombuffer(p, np.uint32))
                     words.append(np.frombuffer(w, np.uint64))
-        yield from settle(heads, fps, words)
+        yield from settle(heads, places, words)
 
-    dealt = rows.repartition(partitions, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(run, "fp long, n long, first long, core binary")
+    dealt = shared.repartition(partitions, "pack").sortWithinPartitions("pack")
+    return dealt.mapInArrow(run, "fp long, n long, core binary")
 
 
 def prefix_length(n: int, core: int) -> int:
@@ -344,47 +360,43 @@ class Group:
 
 
 def _linked(grouped: DataFrame, partitions: int) -> DataFrame:
-    """fp and label (smallest doc_id of its local component) from rows of (task, fp, n, first, core)."""
-    schema = pa.schema([("fp", pa.int64()), ("label", pa.int64()), ("seed", pa.int64())])
+    """fp and seed, a class of its local component, for classes that have links, from rows of (task, fp, n, core)."""
+    schema = pa.schema([("fp", pa.int64()), ("seed", pa.int64())])
 
-    def solve(rows: list) -> Iterator[pa.RecordBatch]:
+    def solve(rows: dict) -> Iterator[pa.RecordBatch]:
         if len(rows) < 2:
             return
-        rows.sort()
-        fps = np.array([r[0] for r in rows], np.int64)
-        label = Group(np.array([r[1] for r in rows]), [np.frombuffer(r[3], np.uint64) for r in rows]).components()
-        least: dict[int, int | None] = {}
-        for k, r in zip(label, rows, strict=True):
-            old = least.get(k)
-            least[k] = r[2] if old is None else old if r[2] is None else min(old, r[2])
-        sizes = np.bincount(label, minlength=len(rows))
-        keep = [i for i in range(len(rows)) if sizes[label[i]] > 1]
-        if keep:
-            yield _emit(schema, fp=fps[keep], label=[least[label[i]] for i in keep], seed=[int(fps[label[i]]) for i in keep])
+        fps = np.array(sorted(rows), np.int64)
+        sets = [rows[f] for f in fps.tolist()]
+        label = Group(np.array([n for n, _ in sets]), [np.frombuffer(c, np.uint64) for _, c in sets]).components()
+        keep = np.flatnonzero(np.bincount(label, minlength=len(fps))[label] > 1)
+        if len(keep):
+            yield _emit(schema, fp=fps[keep], seed=fps[label[keep]])
 
     def run(batches):
-        now, rows = None, []
+        now, rows = None, {}
         for batch in batches:
-            for task, *row in zip(*(batch[k].to_pylist() for k in ("task", "fp", "n", "first", "core")), strict=True):
+            for task, fp, n, core in zip(*(batch[k].to_pylist() for k in ("task", "fp", "n", "core")), strict=True):
                 if task != now:
                     yield from solve(rows)
-                    now, rows = task, []
-                rows.append(tuple(row))
+                    now, rows = task, {}
+                rows[fp] = n, core
         yield from solve(rows)
 
-    dealt = grouped.repartition(partitions, "task").sortWithinPartitions("task")
-    return dealt.mapInArrow(run, "fp long, label long, seed long")
+    dealt = grouped.select("task", "fp", "n", "core").repartition(partitions, "task").sortWithinPartitions("task")
+    return dealt.mapInArrow(run, "fp long, seed long")
 
 
-def class_labels(cores: DataFrame, partitions: int, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """fp and label for the classes linked with another class."""
+def class_links(cores: DataFrame, partitions: int, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """fp and seed: classes that are linked, directly or through others, have the same seed."""
     roots = groups_of(_lists(cores))
-    placed = cores.join(roots.withColumnRenamed("v", "fp"), "fp")
-    sizes = placed.groupBy("root").agg(F.count("*").alias("members"), F.sum(F.length("core")).alias("bytes"))
+    placed = cores.dropDuplicates(["fp"]).join(roots.withColumnRenamed("v", "fp"), "fp")
+    sizes = cores.select("fp", F.length("core").alias("b")).distinct().join(roots.withColumnRenamed("v", "fp"), "fp")
+    sizes = sizes.groupBy("root").agg(F.count("*").alias("members"), F.sum("b").alias("bytes"))
     halves = F.ceil(F.greatest(2 * F.col("members") / group_rows, 2 * F.col("bytes") / GROUP_BYTES)).cast("int")
     large = written(sizes.filter((F.col("members") > group_rows) | (F.col("bytes") > GROUP_BYTES)).select("root", halves.alias("blocks")))
     if large.isEmpty():
-        return written(_linked(placed.withColumn("task", F.col("root")), partitions)).select("fp", "label")
+        return written(_linked(placed.withColumn("task", F.col("root")), partitions))
     placed = placed.join(large, "root", "left")
     blocks = F.col("blocks")
     own = F.pmod(F.xxhash64("fp"), blocks)
@@ -392,27 +404,23 @@ def class_labels(cores: DataFrame, partitions: int, group_rows: int = GROUP_ROWS
         F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("root", F.least(own, j.cast("bigint")), F.greatest(own, j.cast("bigint"))))
     )
     local = written(_linked(placed.withColumn("task", F.explode(task)), partitions))
-    joined = local.select(F.xxhash64("seed", "label", F.lit(1)).alias("list"), F.col("fp").alias("v")).unionByName(
-        local.select(F.xxhash64("seed", "label", F.lit(1)).alias("list"), F.col("seed").alias("v"))
-    ).distinct()
-    top = groups_of(joined)
-    known = local.join(top.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = known.groupBy("root").agg(F.min("label").alias("label"))
-    return written(known.select("fp", "root").distinct().join(least, "root").select("fp", "label"))
+    edges = local.select(F.xxhash64("fp", "seed").alias("list"), F.explode(F.array("fp", "seed")).alias("v"))
+    return groups_of(edges).select(F.col("v").alias("fp"), F.col("root").alias("seed"))
 
 
 def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id and fp (the class of equal sets), one row per row of docs."""
     found = written(set_classes(docs))
     classes = written(found.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    total = classes.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    # Buckets and parts grow with the data; each holds a bounded number of shingles on average.
+    total = found.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
+    # Buckets grow with the data; each holds a bounded number of shingles on average, and so does each pack.
     n_buckets = max(32, -(-total // BUCKET_SHINGLES))
-    n_parts, partitions = n_buckets, max(8, -(-n_buckets // 4))
-    shared = _shared(_packed(docs, n_buckets), n_buckets, n_parts, partitions)
-    cores = written(_cores(shared, classes, n_parts, partitions))
-    labels = class_labels(cores, partitions, group_rows)
-    named = classes.join(labels, "fp", "left").select("fp", F.coalesce("label", "first").alias("component_id"))
+    partitions = max(8, -(-n_buckets // 2))
+    cores = written(_cores(_shared(_packed(docs, n_buckets), partitions), max(8, -(-total // (FLUSH // 2)))))
+    links = class_links(cores, partitions, group_rows)
+    named = classes.join(links, "fp", "left").withColumn("seed", F.coalesce("seed", "fp"))
+    least = named.groupBy("seed").agg(F.min("first").alias("component_id"))
+    named = named.select("fp", "seed").join(least, "seed").select("fp", "component_id")
     out = found.join(named, "fp")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), "fp")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from granary.llm import bin_packing, chat_format, common, hamming_search, jaccard_join, perplexity, quality_rules, secret_scan, source_mixing, token_counts
+from granary.llm import bin_packing, chat_format, common, hamming_search, jaccard_join, perplexity, quality_rules, secret_scan, source_mixing, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +83,8 @@ def op3_token_counts(spark, sf_dir):
 @query
 def op7_perplexity(spark, sf_dir):
     return perplexity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
