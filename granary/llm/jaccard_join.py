@@ -79,14 +79,15 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def set_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and fp, the class of equal sets."""
+    """doc_id, text_hash, n_shingles and fp, the class of equal sets."""
 
     def rows(batch, known) -> dict:
         sets = [shingles(t, known) for t in batch["text"].to_pylist()]
         fps = np.array([fingerprint(s) for s in sets], np.uint64)
-        return {"doc_id": batch["doc_id"], "n_shingles": [len(s) for s in sets], "fp": _signed(fps)}
+        return {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "fp": _signed(fps)}
 
-    return map_batches(documents(docs, "doc_id", "text"), "doc_id long, n_shingles long, fp long", rows, WordHashes)
+    texts = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.col("doc_id").isNull(), "text"))
+    return map_batches(texts, "doc_id long, text_hash long, n_shingles long, fp long", rows, WordHashes)
 
 
 def _emit(schema: pa.Schema, **columns) -> pa.RecordBatch:
@@ -408,8 +409,24 @@ def class_links(cores: DataFrame, partitions: int, group_rows: int = GROUP_ROWS)
     return groups_of(edges).select(F.col("v").alias("fp"), F.col("root").alias("seed"))
 
 
-def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and fp (the class of equal sets), one row per row of docs."""
+def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The rows of docs with one row left of each component, that of its smallest doc_id; rows with an empty set all stay.
+
+    Ids and text hashes of the rows that go or stay are joined to the texts, which are shuffled once.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("_hash")]
+    found = jaccard_components(docs, group_rows, with_hash=True)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    full = found.filter("n_shingles > 0")
+    stays = full.groupBy("component_id").agg(first.alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.text_hash").alias("_hash"))
+    rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *key)
+    worded = F.regexp_like(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
+    kept = rows.filter(worded).join(stays, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
+    return kept.unionByName(rows.filter(~worded)).select("_row.*")
+
+
+def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_hash: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and fp (the class of equal sets), one row per row of docs; text_hash on request."""
     found = written(set_classes(docs))
     classes = written(found.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     total = found.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
@@ -423,4 +440,4 @@ def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFra
     named = named.select("fp", "seed").join(least, "seed").select("fp", "component_id")
     out = found.join(named, "fp")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "fp")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "fp", *["text_hash"] * with_hash)

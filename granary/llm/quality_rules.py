@@ -119,12 +119,17 @@ def base_failed() -> Column:
 
 
 def binomial_tail(n: int, k: int, p: float) -> float:
-    """P(Bin(n, p) <= k), summed in logarithms."""
+    """P(Bin(n, p) <= k), summed beside the largest term."""
     if k >= n:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k + 1)]
-    most = max(logs)
-    return min(1.0, math.exp(most) * math.fsum(math.exp(x - most) for x in logs))
+    log = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)
+    most, total = log(min(k, int(n * p))), 0.0
+    for i in range(k, -1, -1):  # from the largest terms down, until they no longer count
+        x = log(i) - most
+        if x < -40 and i < n * p:
+            break
+        total += math.exp(x)
+    return min(1.0, math.exp(most) * total)
 
 
 def surely_below(n: int, k: int, p: float, error: float) -> bool:
