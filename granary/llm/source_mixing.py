@@ -58,7 +58,7 @@ def targets(totals: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     )
     level = (share * F.col("total") - most * F.col("s")) / F.col("w")
     stays = level * F.col("weight") <= most * F.col("source_size")
-    rows = rows.withColumn("level", F.min(F.when(stays, level)).over(everything))
+    rows = rows.withColumn("level", F.max(F.when(stays, level)).over(everything))
     target = F.least((most * F.col("source_size")).cast("double"), F.coalesce(F.col("level"), F.lit(0.0)) * F.col("weight"))
     return rows.select("source", "source_size", target.alias("target"), F.least(F.round(target).cast("bigint"), most * F.col("source_size")).alias("budget"))
 
@@ -153,7 +153,7 @@ w AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) %
 c AS (SELECT *, coalesce(sum(source_size) OVER b, 0)::DOUBLE AS s, (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))::DOUBLE AS rw,
   (sum(source_size) OVER ())::DOUBLE AS total FROM w
   WINDOW b AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT min((1.5 * total - 2 * s) / rw) FILTER (WHERE (1.5 * total - 2 * s) / rw * weight <= 2 * source_size) AS level FROM c),
+l AS (SELECT max((1.5 * total - 2 * s) / rw) AS level FROM c),
 g AS (SELECT source, source_size, least((2 * source_size)::DOUBLE, coalesce(level, 0) * weight) AS target FROM c, l),
 e AS (SELECT *, least(round(target)::BIGINT, 2 * source_size) AS budget FROM g),
 f AS (SELECT *, coalesce(budget // nullif(source_size, 0), 0) AS epochs, budget - coalesce(budget // nullif(source_size, 0), 0) * source_size AS rest FROM e),
