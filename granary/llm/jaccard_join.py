@@ -38,11 +38,11 @@ WIDTH = 5
 #: Sets link at intersection / union >= NUM / DEN.
 NUM, DEN = 4, 5
 #: Shingles that a map task packs before it sends them on; shingles to a bucket; classes and bytes that one group task holds.
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 BUCKET_SHINGLES = 2_000_000
 GROUP_ROWS = 4096
 GROUP_BYTES = 64_000_000
-_KNOWN_WORDS = 1_000_000
+_KNOWN_WORDS = 300_000
 
 
 class WordHashes(dict):
