@@ -426,7 +426,7 @@ def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_hash: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and fp (the class of equal sets), one row per row of docs; text_hash on request."""
+    """doc_id, n_shingles, component_id and class_id (the smallest doc_id with an equal set), one row per row of docs; text_hash on request."""
     found = written(set_classes(docs))
     classes = written(found.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     total = found.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
@@ -437,7 +437,19 @@ def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_hash:
     links = class_links(cores, partitions, group_rows)
     named = classes.join(links, "fp", "left").withColumn("seed", F.coalesce("seed", "fp"))
     least = named.groupBy("seed").agg(F.min("first").alias("component_id"))
-    named = named.select("fp", "seed").join(least, "seed").select("fp", "component_id")
+    named = named.select("fp", "seed", "first").join(least, "seed").select("fp", "component_id", "first")
     out = found.join(named, "fp")
-    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), "fp", *["text_hash"] * with_hash)
+    own = lambda x: F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col(x))
+    return out.select("doc_id", "n_shingles", own("component_id").alias("component_id"), own("first").alias("class_id"), *["text_hash"] * with_hash)
+
+
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS g FROM w),
+n AS (SELECT doc_id, len(g)::BIGINT AS n_shingles, CASE WHEN len(g) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY g) END AS class_id FROM s),
+x AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n_shingles + nb.n_shingles - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id AND r.root < l.b)
+SELECT doc_id, n_shingles, min(root) AS component_id, any_value(class_id) AS class_id FROM r JOIN n USING (doc_id) GROUP BY doc_id, n_shingles"""

@@ -59,20 +59,24 @@ def _per_word(x: str) -> Column:
     return F.col(x) / F.greatest(F.col("n_words"), F.lit(1))
 
 
-#: Rule: ratio, and candidate cutoffs from the loosest to the strictest. A text is rejected if its ratio exceeds the cutoff.
-RULES: dict[str, tuple[Column | None, tuple[float, ...]]] = {}
+#: Candidate cutoffs of each rule from the loosest to the strictest. A text is rejected if its ratio exceeds the cutoff.
+GRIDS: dict[str, tuple[float, ...]] = {
+    "symbols": (3.0, 2.0, 1.0, 0.5, 0.25, 0.1),
+    "marks": (2.0, 1.5, 1.0, 0.7, 0.4, 0.2),
+    "capitals": (0.8, 0.6, 0.5, 0.4, 0.3, 0.2),
+    "repeats": (0.3, 0.25, 0.2, 0.15, 0.1),
+    "lines": (0.8, 0.6, 0.4, 0.3, 0.2),
+}
 
 
 def rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
     """The rules. Columns need a session, hence a function."""
     chars = F.greatest(F.col("word_chars"), F.lit(1))
-    return {
-        "symbols": (_per_word("n_symbols"), (3.0, 2.0, 1.0, 0.5, 0.25, 0.1)),
-        "marks": (_per_word("n_marks"), (2.0, 1.5, 1.0, 0.7, 0.4, 0.2)),
-        "capitals": (F.col("n_upper") / chars, (0.8, 0.6, 0.5, 0.4, 0.3, 0.2)),
-        "repeats": (_per_word("n_repeat_words"), (0.3, 0.25, 0.2, 0.15, 0.1)),
-        "lines": (F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), (0.8, 0.6, 0.4, 0.3, 0.2)),
-    }
+    ratios = {
+        "symbols": _per_word("n_symbols"), "marks": _per_word("n_marks"), "capitals": F.col("n_upper") / chars,
+        "repeats": _per_word("n_repeat_words"), "lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
+    }
+    return {name: (ratio, GRIDS[name]) for name, ratio in ratios.items()}
 
 
 def text_features(text: str | None) -> tuple[int, ...]:
@@ -212,3 +216,36 @@ def _with_row(schema: str, docs: DataFrame):
 
     out = T._parse_datatype_string(schema)
     return T.StructType([T.StructField("_row", docs.schema), *out.fields])
+
+
+def _sql() -> str:
+    """The whole query as DuckDB SQL, its rules and numbers taken from here."""
+    p = Parameters()
+    ratios = {
+        "symbols": "n_symbols / greatest(n_words, 1)", "marks": "n_marks / greatest(n_words, 1)", "capitals": "n_upper / greatest(word_chars, 1)",
+        "repeats": "n_repeat_words / greatest(n_words, 1)", "lines": "n_dup_lines / greatest(n_lines, 1)",
+    }
+    grid = ", ".join(f"('{name}', {i}, {cut}::DOUBLE)" for name, cuts in GRIDS.items() for i, cut in enumerate(cuts))
+    wide = " UNION ALL ".join(f"SELECT lang, text, '{name}' AS rule, max({ratio}) AS x FROM held GROUP BY lang, text" for name, ratio in ratios.items())
+    rejected = " OR ".join(f"coalesce({ratio} > (SELECT cut FROM own WHERE rule = '{name}' AND stratum IS NOT DISTINCT FROM f.stratum), FALSE)" for name, ratio in ratios.items())
+    return rf"""WITH d AS (SELECT doc_id, lang, text, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT doc_id, unnest(range(1, len(w) - 6)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) AS g FROM d WHERE len(w) > 7),
+h AS (SELECT doc_id, i FROM v QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM h, range(0, 8) AS r(k) GROUP BY doc_id),
+c AS (SELECT doc_id, lang, text, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper, length(regexp_replace(t, '[^!?]', '', 'g'))::BIGINT AS n_marks,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+held AS (SELECT * FROM b WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
+ratio AS ({wide}),
+named AS (SELECT lang FROM ratio WHERE rule = 'marks' AND lang IS NOT NULL GROUP BY lang HAVING count(*) >= {p.min_labels} ORDER BY count(*) DESC, lang LIMIT {p.max_strata}),
+strata AS (SELECT lang AS stratum, lang, rule, x FROM ratio WHERE lang IN (FROM named) UNION ALL SELECT NULL, lang, rule, x FROM ratio),
+tests AS (SELECT stratum, rule, i, any_value(cut) AS cut, count(*) AS n, count(*) FILTER (WHERE x > cut) AS k FROM strata JOIN (VALUES {grid}) AS grid(rule, i, cut) USING (rule) GROUP BY stratum, rule, i),
+shown AS (SELECT *, k <= n * {p.risk / len(ratios)!r} AND list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1)
+  + j * ln({p.risk / len(ratios)!r}) + (n - j) * ln(1 - {p.risk / len(ratios)!r})))) <= {p.error!r} / ((SELECT count(*) + 1 FROM named) * {len(ratios)}) AS safe FROM tests),
+own AS (SELECT s.stratum, s.rule, min(s.cut) AS cut FROM shown s WHERE s.safe AND NOT EXISTS (FROM shown o WHERE NOT o.safe AND o.rule = s.rule AND o.i < s.i AND o.stratum IS NOT DISTINCT FROM s.stratum) GROUP BY s.stratum, s.rule),
+f AS (SELECT *, CASE WHEN lang IN (FROM named) THEN lang END AS stratum FROM b)
+SELECT doc_id, {", ".join(BASE)}, base_failed, NOT base_failed AND NOT ({rejected}) AS kept, n_upper, n_marks, n_lines FROM f"""
+
+
+SQL = _sql()

@@ -34,6 +34,9 @@ def op1_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+SQL["op1_quality_rules"] = quality_rules.SQL
+
+
 @query
 def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -61,6 +64,9 @@ def op5_jaccard_join(spark, sf_dir):
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+SQL["op5_jaccard_join"] = jaccard_join.SQL
+
+
 @query
 def op4_bin_packing(spark, sf_dir):
     return bin_packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
