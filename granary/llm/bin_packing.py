@@ -66,7 +66,7 @@ class ChunkIds(Recent):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__(400_000)
+        super().__init__(250_000)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
