@@ -412,21 +412,24 @@ def class_links(cores: DataFrame, partitions: int, group_rows: int = GROUP_ROWS)
 def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of docs with one row left of each component, that of its smallest doc_id; rows with an empty set all stay.
 
-    Ids and text hashes of the rows that go or stay are joined to the texts, which are shuffled once.
+    Components are told apart by their seeds: those without ids, or with the same id, have equal component_ids. Ids and text hashes of the rows that go or stay are joined to the texts, which are shuffled once.
     """
     key = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_id"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("_hash")]
-    found = jaccard_components(docs, group_rows, with_hash=True)
+    found = jaccard_components(docs, group_rows, with_keys=True)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
     full = found.filter("n_shingles > 0")
-    stays = full.groupBy("component_id").agg(first.alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.text_hash").alias("_hash"))
+    stays = full.groupBy("seed").agg(first.alias("x")).select(F.coalesce("x.doc_id", F.lit(0)).alias("_id"), F.col("x.text_hash").alias("_hash"))
     rows = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), *key)
     worded = F.regexp_like(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]"))
     kept = rows.filter(worded).join(stays, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"])
     return kept.unionByName(rows.filter(~worded)).select("_row.*")
 
 
-def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_hash: bool = False) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (the smallest doc_id with an equal set), one row per row of docs; text_hash on request."""
+def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_keys: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (the smallest doc_id with an equal set), one row per row of docs.
+
+    On request also text_hash and seed, which tells components apart.
+    """
     found = written(set_classes(docs))
     classes = written(found.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     total = found.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
@@ -437,10 +440,10 @@ def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_hash:
     links = class_links(cores, partitions, group_rows)
     named = classes.join(links, "fp", "left").withColumn("seed", F.coalesce("seed", "fp"))
     least = named.groupBy("seed").agg(F.min("first").alias("component_id"))
-    named = named.select("fp", "seed", "first").join(least, "seed").select("fp", "component_id", "first")
+    named = named.select("fp", "seed", "first").join(least, "seed").select("fp", "seed", "component_id", "first")
     out = found.join(named, "fp")
     own = lambda x: F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col(x))
-    return out.select("doc_id", "n_shingles", own("component_id").alias("component_id"), own("first").alias("class_id"), *["text_hash"] * with_hash)
+    return out.select("doc_id", "n_shingles", own("component_id").alias("component_id"), own("first").alias("class_id"), *["text_hash", "seed"] * with_keys)
 
 
 SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),

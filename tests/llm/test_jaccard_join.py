@@ -61,6 +61,14 @@ def test_one_of_each_component_stays(spark):
     assert sorted((r["doc_id"] for r in fixtures.local(kept)), key=repr) == sorted(want, key=repr)
 
 
+def test_components_without_ids_or_with_the_same_id_all_stay(spark):
+    texts = [" ".join(f"{k}{i}" for i in range(30)) for k in "abcdefg"]
+    docs = fixtures.frame(spark, [*texts, texts[0]], [None, None, None, 5, 5, 6, 7, 8])  # frame() repeats two rows
+    kept = fixtures.local(jaccard_join.keep_one(docs))
+    assert sorted((r["text"], r["doc_id"]) for r in kept if r["doc_id"] is not None) == [(texts[0], 8), *zip(texts[3:], [5, 5, 6, 7])]
+    assert sorted(r["text"] for r in kept if r["doc_id"] is None) == texts[1:3]
+
+
 def test_empty(spark):
     assert jaccard_join.jaccard_components(fixtures.empty(spark)).count() == 0
     assert jaccard_join.keep_one(fixtures.empty(spark)).count() == 0
