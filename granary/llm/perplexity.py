@@ -1,7 +1,7 @@
 """Operator 7: a quality classifier by the perplexity of an interpolated modified Kneser-Ney trigram model.
 
-The model learns words from trusted documents (label quality 1, toxic 0), a language each. What it learns from grows with the input:
-`train_docs` trusted documents (all, if there are fewer) and `train_share` of the further ones, drawn by a hash of their id.
+The model learns words from all trusted documents (label quality 1, toxic 0) outside the held-out fifth, a language each. `train_docs` and
+`train_share` below 1 would learn from so many of them and that share of the further ones, drawn by a hash of their id.
 Counts, adjusted (continuation) counts, discounts and interpolated probabilities are DataFrame aggregates and joins on the n-grams.
 
 Scoring is a join of the documents' n-grams with the model, sharded by key. The logarithm of an interpolated probability is written
@@ -13,12 +13,13 @@ most 2^`most_bits` bits, two a key), which holds back most n-grams that the mode
 
 Documents are kept if their perplexity per word is at most `slack` times a quantile of the trusted documents of their language and
 length band. The model never sees a fifth of the trusted documents (by a hash of the id); the quantiles come from all of these.
-Languages without enough of them use the quantiles of all. There is no lower limit: documents that the model has learnt from score low.
+Languages without enough of them use the quantiles of all; one that the model doesn't know has no limit. There is no lower limit: documents that the model has learnt from score low.
 
 A word's closing . , ; : doesn't count. Unknown words share what the unigrams' discounts leave, in equal parts.
 
 Defined results: a null or empty text has no words, null perplexity and isn't kept. A null language is the language ""; languages
-that the model doesn't know are scored with unknown words of probability 1e-7. Without trusted labels nothing is judged and every text with
+that the model doesn't know are scored with unknown words of probability 1e-7, and their texts with words are kept: nothing was learnt
+that could speak against them. Without trusted labels nothing is judged and every text with
 words is kept. Repeated rows give repeated rows; other columns are ignored.
 """
 
@@ -49,7 +50,7 @@ class Parameters:
     """
 
     train_docs: int = 500
-    train_share: float = 1 / 32
+    train_share: float = 1.0
     hot_entries: int = 1_000_000
     most_bits: int = 29
     broadcast_ids: int = 1_000_000
@@ -320,11 +321,13 @@ def classify(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "n_words", none.alias("perplexity"), none.alias("limit"), (F.col("n_words") > 0).alias("kept"))
     scored = written(perplexities(docs, written(keyed(train(found))), p).withColumn("band", band))
+    known = written(found.select(F.col("lang").alias("lang_key")).distinct().withColumn("known", F.lit(True)))
     trusted = scored.filter(F.col("n_words") > 0).join(trusted_ids(labels).filter(held_out()), "doc_id", "left_semi")
     limit = F.percentile_approx("perplexity", F.lit(p.quantile), F.lit(10_000)) * p.slack
     own = written(trusted.groupBy("lang_key", "band").agg(F.count("*").alias("n"), limit.alias("own_limit")).filter(F.col("n") >= p.min_trusted).drop("n"))
     every = written(trusted.groupBy("band").agg(limit.alias("all_limit")))
-    # one row a band, hence the broadcast; Spark sees to the other table's size
-    rows = scored.join(own, ["lang_key", "band"], "left").join(F.broadcast(every), "band", "left").withColumn("limit", F.coalesce("own_limit", "all_limit"))
+    # one row a band, hence the broadcast; Spark sees to the other tables' sizes
+    rows = scored.join(own, ["lang_key", "band"], "left").join(known, "lang_key", "left").join(F.broadcast(every), "band", "left")
+    rows = rows.withColumn("limit", F.when(F.col("known"), F.coalesce("own_limit", "all_limit")))
     kept = (F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
     return rows.select("doc_id", "n_words", "perplexity", "limit", kept.alias("kept"))

@@ -124,3 +124,14 @@ def test_training_grows_with_trusted_documents(spark, tables):
     assert sizes[0] < sizes[1] < sizes[2]
     by_shuffle = perplexity.sample(docs, labels, perplexity.Parameters(train_docs=40, train_share=0.5, broadcast_ids=0))
     assert by_shuffle.count() == sizes[1]
+
+
+def test_all_trusted_documents_are_learnt_from(spark):
+    """Also beyond train_docs; and a language without trusted documents has no limit."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} w{i % 5} w{i % 3}", "en") for i in range(900)] + [(900, "q r s", "rare")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(900)], "doc_id long, quality int, toxic int")
+    wanted = perplexity.trusted_ids(labels).filter(~perplexity.held_out()).count()
+    assert wanted > perplexity.Parameters().train_docs
+    assert perplexity.sample(docs, labels, perplexity.Parameters()).count() == wanted
+    got = {r["doc_id"]: r for r in fixtures.local(perplexity.classify(docs, labels))}
+    assert got[900]["limit"] is None and got[900]["kept"] and got[0]["limit"] is not None
