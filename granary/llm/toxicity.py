@@ -1,17 +1,18 @@
 """Operator 6: toxicity by the nearest labelled examples.
 
-1. Terms. From a bounded sample of labelled training texts (each distinct text once) those words and word beginnings are chosen that
-   stand out in toxic ones. A text's terms are its words, A-Z lowered and without closing punctuation, and their first 4 and 6 letters.
-2. Vectors. Every whole text becomes its counts of chosen terms; weights are TF-IDF with document frequencies over all documents.
-3. Index. A bounded sample of training documents, half of each label, is an inverted index: documents stand in blocks, and each term
-   has its largest weight per block. A query adds these to upper bounds, visits blocks by falling bound, and stops when the k-th exact
-   cosine is above the next bound: the k nearest are exact.
-4. Votes. The neighbours' labels are weighted by the square of their cosine; the share, with the number of toxic terms met, is calibrated by the
-   observed share of label 1 among training documents outside the index. The nearest examples are kept as evidence.
+1. Examples. A bounded sample of training documents, up to `index_each` of either label, stands for the rest; each with all its words,
+   A-Z lowered and without closing punctuation.
+2. Vectors. Every whole text becomes its counts of words; weights are TF-IDF with document frequencies over all documents. Words of the examples
+   are numbered; the others, of which no example has any, only count for a text's length: their frequencies are joined by a hash.
+3. Index. Inverted lists: per word the examples that have it, by blocks, with the word's largest weight per block. A query adds these to upper
+   bounds, visits the blocks of the highest bounds, then those whose bound reaches the k-th cosine found: the k nearest are exact.
+4. Votes. The neighbours' labels are weighted by the square of their cosine. The share and the text's lean (the sum of its words' smoothed log odds
+   among the examples) are calibrated by the observed share of label 1 among training documents; one that is an example itself is left out of
+   its own neighbours and odds. The nearest examples are kept as evidence.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not 0; labels of the others are never read.
 
-Defined results: a null or empty text, or one without chosen terms, has no neighbours and gets the calibrated score of such texts. Null
+Defined results: a null or empty text, or one without words of the examples, has no neighbours and gets the calibrated score of such texts. Null
 ids are never training rows and count as held out. Without training labels all scores are 0. Conflicting labels count as toxic. Repeated rows give repeated rows; other
 columns are ignored.
 """
@@ -23,6 +24,9 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,37 +35,37 @@ from granary.llm.common import Recent, documents, map_batches, written
 
 @dataclass(frozen=True)
 class Parameters:
-    """sample_each: labelled texts of either label from which terms are chosen. index_each: examples of either label in the index."""
+    """index_each: examples of either label in the index. lean: edges of the classes of leans that calibration tells apart."""
 
-    sample_each: int = 4000
     index_each: int = 2048
-    max_terms: int = 1024
-    min_texts: int = 6
-    min_z: float = 6.0
     k: int = 15
     block: int = 64
     bins: int = 8
+    lean: tuple[float, ...] = (-1.0, 1.0, 3.0, 6.0)
 
 
-PREFIXES = (4, 6)
+#: Added to a word's numbers of toxic and of clean examples, so that rare words have odds near 1.
+ODDS_PRIOR = 4.0
+#: Blocks visited before the others are compared with the k-th cosine.
+FIRST_BLOCKS = 4
+#: Marks hashes of words that no example has; numbers are below.
+OTHER = 1 << 63
 
 
-def terms_of(word: bytes) -> tuple[str, ...]:
-    """The word and its beginnings, marked by their length."""
-    text = (word.rstrip(b".,;:!?*$%&#") or word).decode().lower()
-    return (text, *(f"{text[:n]}~{n}" for n in PREFIXES if len(text) > n))
+def term_hash(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest((word.rstrip(b".,;:!?*$%&#") or word).decode().lower().encode())
 
 
 class WordTerms(Recent):
-    """Numbers of a word's chosen terms, the most telling only; empty for most words."""
+    """The number of a word that examples have, else its hash, marked."""
 
-    def __init__(self, chosen: dict[str, int]):
+    def __init__(self, hashes: np.ndarray):
         super().__init__()
-        self.chosen = chosen
+        self.numbers = {h: i for i, h in enumerate(hashes.tolist())}
 
-    def compute(self, word: bytes) -> tuple[int, ...]:
-        found = [self.chosen[t] for t in terms_of(word) if t in self.chosen]
-        return (min(found),) if found else ()
+    def compute(self, word: bytes) -> int:
+        h = term_hash(word)
+        return self.numbers.get(h, h | OTHER)
 
 
 def training(labels: DataFrame) -> DataFrame:
@@ -70,140 +74,205 @@ def training(labels: DataFrame) -> DataFrame:
     return rows.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def _first(rows: DataFrame, n: int, seed: str) -> DataFrame:
+def _first(rows: DataFrame, n: int) -> DataFrame:
     """n rows of either label in the order of a hash."""
-    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
+    order = [F.xxhash64("doc_id", F.lit("index")), F.col("doc_id")]
     half = lambda y: rows.filter(F.col("toxic") == y).orderBy(*order).limit(n)
     return written(half(1).unionByName(half(0)))
 
 
-def choose_terms(docs: DataFrame, learn: DataFrame, p: Parameters) -> list[str]:
-    """The terms that stand out in toxic texts, most telling first."""
-    picked = _first(learn, p.sample_each, "terms")  # bounded, hence the broadcast
-    texts = documents(docs, "doc_id", "text").join(F.broadcast(picked), "doc_id").filter(F.length("text") > 0)
-    texts = texts.dropDuplicates(["text"])
+def example_rows(docs: DataFrame, learn: DataFrame, p: Parameters) -> dict[str, list]:
+    """doc_id, toxic, hashes (of all words, distinct) of at most 2 * index_each training documents with words, and counts."""
+    texts = documents(docs, "doc_id", "text").filter(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]")))
+    picked = _first(texts.select("doc_id").join(learn, "doc_id").distinct(), p.index_each)
 
     def rows(batch) -> dict:
-        every, toxic, labels = Counter(), Counter(), batch["toxic"].to_pylist()
-        for text, y in zip(batch["text"].to_pylist(), labels, strict=True):
-            found = {t for w in set(text.encode().split()) for t in terms_of(w)}
-            every.update(found)
-            if y:
-                toxic.update(found)
-        every[""], toxic[""] = len(labels), sum(labels)
-        return {"term": list(every), "n": list(every.values()), "t": [toxic[x] for x in every]}
-
-    counts = written(map_batches(texts, "term string, n long, t long", rows).groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t")))
-    head = counts.filter("term = ''").first()
-    if head is None or not 0 < head.t < head.n:
-        return []
-    rate = head.t / head.n
-    z = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * (rate * (1 - rate)))
-    good = counts.filter((F.col("term") != "") & (F.col("n") >= p.min_texts)).withColumn("z", z).filter(f"z >= {p.min_z} AND t >= 0.85 * n")
-    return [r.term for r in good.orderBy(F.desc("z"), "term").limit(p.max_terms).collect()]
-
-
-def vectors(docs: DataFrame, chosen: list[str]) -> DataFrame:
-    """doc_id, terms and counts (arrays) of every whole text."""
-    numbers = {t: i for i, t in enumerate(chosen)}
-
-    def rows(batch, words) -> dict:
-        found = []
+        found = [Counter(map(term_hash, t.encode().split())) for t in batch["text"].to_pylist()]
+        hashes = [np.array(list(f), np.uint64).view(np.int64) for f in found]
+        return {"doc_id": batch["doc_id"], "toxic": batch["toxic"], "hashes": hashes, "counts": [list(f.values()) for f in found]}
+
+    taken = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])  # bounded, hence the broadcast
+    out = map_batches(taken, "doc_id long, toxic int, hashes array<long>, counts array<int>", rows).toArrow()
+    return out.sort_by("doc_id").to_pydict()
+
+
+def vectors(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
+    """row (a number), doc_id, terms and counts (arrays) of every whole text, and the same of words that no example has (others: hashes)."""
+    sent = docs.sparkSession.sparkContext.broadcast(hashes)
+
+    def rows(batch, state: dict) -> dict:
+        words, n = state["words"], batch.num_rows
+        known, other = [], []
         for text in batch["text"].to_pylist():
-            hits = Counter(t for ts in filter(None, map(words.__getitem__, text.encode().split())) for t in ts) if text else Counter()
-            found.append(sorted(hits.items()))
-        return {"doc_id": batch["doc_id"], "terms": [[t for t, _ in f] for f in found], "counts": [[n for _, n in f] for f in found]}
+            hits = sorted(Counter(map(words.__getitem__, text.encode().split())).items()) if text else []
+            at = next((i for i in range(len(hits) - 1, -1, -1) if hits[i][0] < OTHER), -1) + 1
+            known.append(hits[:at])
+            other.append(hits[at:])
+        state["next"] += n
+        return {
+            "row": np.arange(state["next"] - n, state["next"]), "doc_id": batch["doc_id"],
+            "terms": [[t for t, _ in f] for f in known], "counts": [[c for _, c in f] for f in known],
+            "others": [np.array([t for t, _ in f], np.uint64).view(np.int64) for f in other], "other_counts": [[c for _, c in f] for f in other],
+        }
+
+    schema = "row long, doc_id long, terms array<int>, counts array<int>, others array<long>, other_counts array<int>"
+    return map_batches(documents(docs, "doc_id", "text"), schema, rows, lambda: {"words": WordTerms(sent.value), "next": TaskContext.get().partitionId() << 36})
+
+
+def frequencies(found: DataFrame, n_terms: int) -> np.ndarray:
+    """In how many documents each numbered term is."""
+
+    def run(batches):
+        total = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            total += np.bincount(batch["terms"].flatten().to_numpy(), minlength=n_terms)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["term", "n"])
+
+    rows = found.select("terms").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(n_terms, np.int64)
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def other_squares(found: DataFrame, n: int) -> DataFrame:
+    """row and rest: the sum of squared weights of a text's words that no example has."""
+    pairs = found.select("row", F.explode(F.arrays_zip("others", "other_counts")).alias("x")).select("row", F.col("x.others").alias("h"), F.col("x.other_counts").alias("c"))
+    seen = pairs.groupBy("h").agg(F.count("*").alias("df"))
+    weight = (1 + F.log("c")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)
+    return pairs.join(seen, "h").groupBy("row").agg(F.sum(weight * weight).alias("rest"))
+
 
-    return map_batches(documents(docs, "doc_id", "text"), "doc_id long, terms array<int>, counts array<int>", rows, lambda: WordTerms(numbers))
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of the ranges in turn, and each range's length."""
+    n = ends - starts
+    return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
 
 
 @dataclass
 class Index:
-    """Examples in blocks, with their terms' weights, and the largest weight of each term per block."""
+    """Examples in blocks. A term's entries, one per block, hold the block, the largest weight, and where its list of examples starts."""
 
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
+    entry_at: np.ndarray
+    entry_block: np.ndarray
+    entry_top: np.ndarray
+    list_at: np.ndarray
+    places: np.ndarray
     weights: np.ndarray
-    top: np.ndarray
+    odds: np.ndarray
     block: int
 
     @classmethod
     def of(cls, idf: np.ndarray, ids: list[int], toxic: list[int], terms: list[list[int]], counts: list[list[int]], block: int) -> Index:
-        """Examples with like terms stand together, which makes the blocks' largest weights tight."""
-        dense = np.zeros((len(ids), len(idf)), np.float32)
-        for i, (t, n) in enumerate(zip(terms, counts, strict=True)):
-            dense[i, t] = cls.weight(idf, t, n)
-        order = np.lexsort((np.array(ids), dense.argmax(axis=1))) if len(ids) else np.empty(0, np.int64)
-        pad = -len(ids) % block
-        dense = np.vstack([dense[order], np.zeros((pad, len(idf)), np.float32)])
-        return cls(idf, np.array(ids, np.int64)[order], np.array(toxic, np.float64)[order], dense, dense.reshape(-1, block, len(idf)).max(axis=1), block)
+        """Examples with the same foremost common term stand together, which makes the blocks' largest weights tight."""
+        w = [cls.weight(idf, t, n) for t, n in zip(terms, counts, strict=True)]
+        have = np.bincount(np.concatenate([np.array(t, np.int64) for t in terms]), minlength=len(idf)) if terms else np.zeros(len(idf), np.int64)
+        common = have * 20 >= len(ids)
+        first = [max(((x, t) for x, t in zip(v.tolist(), ts, strict=True) if common[t]), default=(0, -1))[1] for v, ts in zip(w, terms, strict=True)]
+        order = np.lexsort((np.array(ids), np.array(first))) if len(ids) else np.empty(0, np.int64)
+        term = np.concatenate([np.array(terms[i], np.int64) for i in order]) if len(ids) else np.empty(0, np.int64)
+        place = np.repeat(np.arange(len(ids)), [len(terms[i]) for i in order])
+        weight = np.concatenate([w[i] for i in order]) if len(ids) else np.empty(0, np.float32)
+        by = np.lexsort((place, term))
+        term, place, weight = term[by], place[by], weight[by]
+        n_blocks = -(-len(ids) // block)
+        entry = term * max(1, n_blocks) + place // block
+        at = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.empty(0, np.int64)
+        top = np.maximum.reduceat(weight, at) if len(at) else np.empty(0, np.float32)
+        labels = np.array(toxic, np.float64)[order]
+        odds = np.stack([np.bincount(term, weights=labels[place], minlength=len(idf)), np.bincount(term, weights=1 - labels[place], minlength=len(idf))])
+        return cls(
+            idf, np.array(ids, np.int64)[order], labels, np.searchsorted(term[at], np.arange(len(idf) + 1)), place[at] // block, top,
+            np.append(at, len(term)), place, weight, odds, block,
+        )
 
     @staticmethod
     def weight(idf: np.ndarray, terms: list[int], counts: list[int]) -> np.ndarray:
         w = (1 + np.log(np.array(counts, np.float64))) * idf[terms]
         return (w / math.sqrt(float(w @ w))).astype(np.float32)
 
-    def nearest(self, terms: list[int], counts: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0, ties by id."""
+    def lean(self, terms: list[int], own: int | None = None) -> float:
+        """The sum of the terms' log odds of standing in a toxic example; own: the place of an example that doesn't count."""
+        n = np.array([self.toxic.sum(), len(self.toxic) - self.toxic.sum()])
+        seen = self.odds[:, terms]
+        if own is not None:
+            label = 0 if self.toxic[own] else 1
+            n[label] -= 1
+            seen[label] -= 1
+        share = (seen + ODDS_PRIOR) / (n[:, None] + 2 * ODDS_PRIOR)
+        return float(np.log(share[0] / share[1]).sum())
+
+    def nearest(self, terms: list[int], counts: list[int], k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a cosine above 0, ties by id; own: the place of an example that doesn't count."""
         q = self.weight(self.idf, terms, counts)
-        bound = self.top[:, terms] @ q
-        order = np.argsort(-bound, kind="stable")
-        places, cosines = np.empty(0, np.int64), np.empty(0, np.float32)
-        for b in order:
-            if bound[b] <= 0 or len(cosines) >= k and cosines[k - 1] > bound[b] + 1e-6:
-                break
-            a, e = b * self.block, min((b + 1) * self.block, len(self.ids))
-            c = self.weights[a:e, terms] @ q
-            at = np.flatnonzero(c > 0)
-            places, cosines = np.concatenate([places, a + at]), np.concatenate([cosines, c[at]])
+        at, n = _ranges(self.entry_at[terms], self.entry_at[np.array(terms) + 1])
+        q, blocks = np.repeat(q, n), self.entry_block[at]
+        bound = np.bincount(blocks, weights=self.entry_top[at] * q, minlength=-(-len(self.ids) // self.block))
+        open_, places, cosines = bound > 0, np.empty(0, np.int64), np.empty(0)
+        visit = np.zeros(len(bound), bool)
+        visit[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
+        for _ in range(2):
+            here = (visit & open_)[blocks]
+            found, m = _ranges(self.list_at[at[here]], self.list_at[at[here] + 1])
+            c = np.bincount(self.places[found], weights=self.weights[found] * np.repeat(q[here], m), minlength=len(self.ids))
+            if own is not None:
+                c[own] = 0
+            hit = np.flatnonzero(c > 0)
+            places, cosines = np.concatenate([places, hit]), np.concatenate([cosines, c[hit]])
             keep = np.lexsort((self.ids[places], -np.round(cosines, 6)))[:k]
             places, cosines = places[keep], cosines[keep]
+            open_ &= ~visit
+            visit = bound >= cosines[k - 1] - 1e-5 if len(cosines) >= k else np.ones(len(bound), bool)
         return places, cosines
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence (ids and cosines of the nearest examples), one row per row of docs."""
     learn = written(training(labels))
-    chosen = choose_terms(docs, learn, p)
     held = (F.crc32(F.col("doc_id").cast("string")) % 5 == 0) | F.col("doc_id").isNull()
-    if not chosen:
+    examples = example_rows(docs, learn, p)
+    if not examples["doc_id"]:
         return documents(docs, "doc_id").select("doc_id", held.alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit("").alias("evidence"))
-    found = written(vectors(docs, chosen))
+    hashes = [np.array(h, np.int64).view(np.uint64) for h in examples["hashes"]]
+    every = np.unique(np.concatenate(hashes))
+    found = written(vectors(docs, every))
     n = found.count()
-    counts = {r.term: r.n for r in found.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
-    idf = np.array([math.log((1 + n) / (1 + counts.get(i, 0))) + 1 for i in range(len(chosen))])
-    picked = _first(found.filter(F.size("terms") > 0).select("doc_id").join(learn, "doc_id").distinct(), p.index_each, "index")
-    examples = found.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).toArrow().to_pydict()  # at most 2 * index_each rows
-    index = Index.of(idf, examples["doc_id"], examples["toxic"], examples["terms"], examples["counts"], p.block)
+    idf = np.log((1 + n) / (1 + frequencies(found, len(every)))) + 1
+    index = Index.of(idf, examples["doc_id"], examples["toxic"], [np.searchsorted(every, h).tolist() for h in hashes], examples["counts"], p.block)
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
-    def rows(batch, ix: Index) -> dict:
-        votes, hits, evidence = [], [], []
-        for terms, counts_ in zip(batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            places, cosines = ix.nearest(terms, counts_, p.k) if terms else ((), ())
-            if len(places):
-                w = np.square(cosines.astype(np.float64))
-                votes.append(int(min(p.bins - 1, p.bins * float(w @ ix.toxic[places] / w.sum()))))
-                evidence.append(",".join(f"{ix.ids[i]}:{c:.4f}" for i, c in zip(places[:3], cosines[:3], strict=True)))
-            else:
-                votes.append(-1)
-                evidence.append("")
-            hits.append(min(4, sum(counts_)))
-        return {"doc_id": batch["doc_id"], "vote": votes, "hits": hits, "evidence": evidence}
-
-    voted = written(map_batches(found, "doc_id long, vote int, hits int, evidence string", rows, lambda: sent.value))
-    seen = voted.join(learn, "doc_id").join(F.broadcast(picked.select("doc_id")), "doc_id", "left_anti")
-    cells = seen.groupBy("vote", "hits").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    # (bins + 1) * 5 cells at most; a cell is drawn to the share of its vote, which stands for cells that training hasn't met
-    table = {(r.vote, r.hits): (r.t, r.n) for r in cells.collect()}
+    def rows(batch, state: tuple) -> dict:
+        ix, own = state
+        votes, leans, ids, cosines, squares = [], [], [], [], []
+        for doc_id, terms, counts in zip(batch["doc_id"].to_pylist(), batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+            places, c = ix.nearest(terms, counts, p.k, own.get(doc_id)) if terms else (np.empty(0, np.int64), np.empty(0))
+            w = np.square(c)
+            votes.append(int(min(p.bins - 1, p.bins * float(w @ ix.toxic[places] / w.sum()))) if len(places) else -1)
+            leans.append(int(np.searchsorted(p.lean, ix.lean(terms, own.get(doc_id)), "right")) if terms else 0)
+            ids.append(ix.ids[places[:3]])
+            cosines.append(c[:3])
+            squares.append(float(np.square((1 + np.log(counts)) * ix.idf[terms]).sum()) if terms else 0.0)
+        return {"row": batch["row"], "doc_id": batch["doc_id"], "vote": votes, "lean": leans, "ids": ids, "cosines": cosines, "own": squares}
+
+    schema = "row long, doc_id long, vote int, lean int, ids array<long>, cosines array<double>, own double"
+    setup = lambda: (sent.value, {d: i for i, d in enumerate(sent.value.ids.tolist())})
+    voted = written(map_batches(found.select("row", "doc_id", "terms", "counts"), schema, rows, setup))
+    cells = voted.join(learn, "doc_id").groupBy("vote", "lean").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    # (bins + 1) * classes of leans at most; a cell is drawn to the share of its vote, which stands for cells that training hasn't met
+    table = {(r.vote, r.lean): (r.t, r.n) for r in cells.collect()}
     total = [sum(x) for x in zip(*table.values(), strict=True)] or [0, 1]
 
-    def calibrated(vote: int, hit: int) -> float:
+    def calibrated(vote: int, lean: int) -> float:
         prior = (vote + 0.5) / p.bins if vote >= 0 else total[0] / max(1, total[1])
-        t, m = table.get((vote, hit), (0, 0))
+        t, m = table.get((vote, lean), (0, 0))
         return (t + 4 * prior) / (m + 4)
 
-    scores = docs.sparkSession.createDataFrame([(v, h, calibrated(v, h)) for v in range(-1, p.bins) for h in range(5)], "v int, h int, score double")
-    out = voted.join(F.broadcast(scores), (F.col("vote") == F.col("v")) & (F.col("hits") == F.col("h")))
-    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+    scores = docs.sparkSession.createDataFrame([(v, x, calibrated(v, x)) for v in range(-1, p.bins) for x in range(len(p.lean) + 1)], "v int, x int, score double")
+    out = voted.join(other_squares(found, n), "row", "left").join(F.broadcast(scores), (F.col("vote") == F.col("v")) & (F.col("lean") == F.col("x")))
+    # the cosines so far are over the examples' words; the others make the text's vector longer
+    scale = F.sqrt(F.col("own") / (F.col("own") + F.coalesce("rest", F.lit(0.0))))
+    evidence = F.array_join(F.zip_with("ids", "cosines", lambda i, c: F.concat(i.cast("string"), F.lit(":"), F.format_string("%.4f", c * scale))), ",")
+    return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), evidence.alias("evidence"))

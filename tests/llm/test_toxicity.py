@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -59,6 +61,23 @@ def test_neighbours_are_exact():
         assert len(cosines) == min(15, int((dense @ q > 1e-9).sum()))
 
 
+def test_rare_and_ordinary_words_count(spark):
+    """Cosines over all words, also those of few toxic texts and those of no example, against dictionaries."""
+    rng = random.Random(8)
+    texts = [" ".join(["Slur!", "slur"] * (i % 50 == 0) + fixtures.words(rng, 12, 300)) for i in range(400)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "slur nowhere nowhere w1"), (None, "w1, W2 w3 other")], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 50 == 0)) for i in range(400)], "doc_id long, toxic int")
+    bags = {r["doc_id"] if r["doc_id"] is not None else r["text"]: Counter(w.rstrip(",!").lower() for w in r["text"].split()) for r in fixtures.local(docs)}
+    df = Counter(w for b in bags.values() for w in b)
+    vector = lambda b: {w: (1 + math.log(c)) * (math.log((1 + len(bags)) / (1 + df[w])) + 1) for w, c in b.items()}
+    unit = {k: {w: x / math.sqrt(sum(y * y for y in v.values())) for w, x in v.items()} for k, v in ((k, vector(b)) for k, b in bags.items())}
+    examples = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5]
+    rows = fixtures.local(toxicity.toxicity(docs, labels))
+    evidence = [[float(x.split(":")[1]) for x in r["evidence"].split(",")] for r in rows if r["doc_id"] is None]
+    want = [sorted((sum(x * unit[i].get(w, 0) for w, x in unit[k].items()) for i in examples), reverse=True)[:3] for k in bags if isinstance(k, str)]
+    assert np.allclose(sorted(evidence), sorted(want), atol=1e-4)
+
+
 def test_without_labels_and_empty(spark):
     docs, labels = corpus(spark, 50)
     assert {r["score"] for r in fixtures.local(toxicity.toxicity(docs, labels.limit(0)))} == {0.0}
