@@ -1,9 +1,10 @@
-"""Operator 3: token counts under a unigram vocabulary, without making the tokens.
+"""Operator 3: token counts under a unigram vocabulary with byte fallback, without making the tokens.
 
 Every word, led by the mark U+2581 unless it has it already, is cut so that the sum of its pieces' scores is largest. An Aho-Corasick automaton lists
 the vocabulary's matches by their ends; dynamic programming keeps, per end, the best score and the number of pieces on that path, and nothing
 else. The rules are the tokenizer's own: sums are doubles, added from the left; among equal sums the first found, that is the
-longest last piece, stays; a character that is no piece costs the smallest score less 10; neighbouring unknown characters count as one.
+longest last piece, stays; a character that is no piece costs the smallest score less 10. A stretch of neighbouring unknown characters counts as its
+UTF-8 bytes if the vocabulary has a piece for each of them, else as one.
 
 Defined results: a null text, or one without words, has no tokens. Repeated rows give repeated rows. Other columns are ignored.
 """
@@ -22,6 +23,14 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 
 
+def byte_pieces(path: str) -> frozenset[int]:
+    """The bytes that have pieces <0x00> to <0xFF> in a SentencePiece file."""
+    from sentencepiece import SentencePieceProcessor
+
+    sp = SentencePieceProcessor(model_file=path)
+    return frozenset(int(sp.id_to_piece(i)[1:-1], 16) for i in range(sp.get_piece_size()) if sp.is_byte(i))
+
+
 def read_vocabulary(path: str) -> list[tuple[str, float]]:
     """(piece, score) of a SentencePiece file, without control, unknown and byte pieces."""
     from sentencepiece import SentencePieceProcessor
@@ -37,20 +46,21 @@ class Counter:
 
     words: ahocorasick.Automaton
     unknown: float
+    fallback: frozenset[int] = frozenset()
 
     @classmethod
-    def of(cls, vocabulary: list[tuple[str, float]]) -> Counter:
+    def of(cls, vocabulary: list[tuple[str, float]], fallback: frozenset[int] = frozenset()) -> Counter:
         automaton = ahocorasick.Automaton()
         for piece, score in vocabulary:
             automaton.add_word(piece, (len(piece), float(score)))
         automaton.make_automaton()
-        return cls(automaton, min(s for _, s in vocabulary) - UNKNOWN_PENALTY)
+        return cls(automaton, min(s for _, s in vocabulary) - UNKNOWN_PENALTY, fallback)
 
     def count(self, text: str) -> int:
         """Pieces on the best path through a text that holds no space."""
         n = len(text)
         score: list[float | None] = [0.0] + [None] * n
-        pieces, open_ = [0] * (n + 1), [False] * (n + 1)  # open_: the path ends with an unknown stretch
+        pieces, open_ = [0] * (n + 1), [None] * (n + 1)  # open_: where the unknown stretch starts that the path ends with
         known = [False] * (n + 1)
         ends: list[list] = [[] for _ in range(n + 1)]
         for end, found in self.words.iter(text):
@@ -66,9 +76,19 @@ class Counter:
                 s = self.unknown + score[e - 1]
                 if best is None or s > best:
                     best, from_, unknown = s, e - 1, True
-            score[e], open_[e] = best, unknown
-            pieces[e] = pieces[from_] + (0 if unknown and open_[from_] else 1)
-        return pieces[n]
+            score[e] = best
+            if unknown:
+                open_[e] = from_ if open_[from_] is None else open_[from_]
+            # an unknown stretch is counted as it ends: at the next piece, or at the text's end
+            pieces[e] = pieces[from_] if unknown else self.closed(text, pieces, open_, from_) + 1
+        return self.closed(text, pieces, open_, n)
+
+    def closed(self, text: str, pieces: list[int], open_: list[int | None], end: int) -> int:
+        """Pieces of the path to a place, with those of the unknown stretch that it ends with."""
+        if open_[end] is None:
+            return pieces[end]
+        data = text[open_[end] : end].encode()
+        return pieces[end] + (len(data) if self.fallback.issuperset(data) else 1)
 
 
 class WordCounts(Recent):
@@ -89,7 +109,7 @@ _COUNTS: dict[str, WordCounts] = {}
 def worker_counts(path: str) -> WordCounts:
     """One per Python worker: it serves many tasks."""
     if path not in _COUNTS:
-        _COUNTS[path] = WordCounts(Counter.of(read_vocabulary(path)))
+        _COUNTS[path] = WordCounts(Counter.of(read_vocabulary(path), byte_pieces(path)))
     return _COUNTS[path]
 
 

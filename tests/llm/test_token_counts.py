@@ -37,5 +37,19 @@ def test_ties_and_unknowns():
             assert counter.count(text) == len(tokenizer.encode(text).ids), (vocabulary, text)
 
 
+def test_unknown_characters_count_their_bytes(spark):
+    """The unigram tokenizer with byte fallback on the file's pieces and byte pieces, in scripts that the vocabulary doesn't cover."""
+    vocabulary, fallback = token_counts.read_vocabulary(PATH), sorted(token_counts.byte_pieces(PATH))
+    tokenizer = Tokenizer(Unigram([("<unk>", 0.0), *vocabulary, *[(f"<0x{b:02X}>", -1e9) for b in fallback]], 0, True))
+    rng = random.Random(5)
+    given = ["ᚠᚢᚦ", *("".join(rng.choice("ᚠᚢᚦ𓀀𓀁ab日é") for _ in range(rng.randrange(1, 9))) for _ in range(200))]
+    docs = spark.createDataFrame(list(enumerate(given)), "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in fixtures.local(token_counts.token_counts(docs, PATH))}
+    assert got == {i: len(tokenizer.encode("▁" + x).ids) for i, x in enumerate(given)}
+    assert got[0] == 10
+    some = token_counts.Counter.of([("a", -1.0)], frozenset("é".encode()))  # without a piece for each byte a stretch is one unknown
+    assert [some.count(x) for x in ("éa", "éü", "aéaü")] == [3, 1, 5]
+
+
 def test_empty(spark):
     assert token_counts.token_counts(fixtures.empty(spark), PATH).count() == 0
