@@ -2,7 +2,7 @@
 
 One Aho-Corasick pass over the text (A-Z lowered) finds keywords; regular expressions are anchored at those hits only.
 Formats that carry a check are then verified: the CRC-32 at the end of platform tokens, the JSON header of web tokens,
-the DER length in key blocks. Long runs of hexadecimal digits have no keyword; they are found by the gaps between other bytes.
+in key blocks the DER length, the length fields of OpenSSH keys, or whole cipher blocks after the header lines of encrypted ones. Long runs of hexadecimal digits have no keyword; they are found by the gaps between other bytes.
 
 Kinds in order: assign, access, hex (the base), then github, npm, jwt, pem. Spans are code points, end exclusive.
 Within a kind, matches are leftmost and don't overlap; a match that is too short is dropped but its characters stay used.
@@ -42,7 +42,7 @@ ANCHORED = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{5,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{20,})"),
-    "pem": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s+([A-Za-z0-9+/=\s]+)-----END \1-----"),
+    "pem": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s+((?:[ \t]*[A-Za-z0-9-]+:[^\n]*\n)*+)([A-Za-z0-9+/=\s]+)-----END \1-----"),
 }
 HEX_LENGTH = 24
 _NO_HEX = ~np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
@@ -69,12 +69,8 @@ def _json_header(m: re.Match) -> bool:
         return False
 
 
-def _der_fits(m: re.Match) -> bool:
-    """The block decodes to one DER sequence of just its stated length."""
-    try:
-        data = base64.b64decode("".join(m[2].split()), validate=True)
-    except (binascii.Error, ValueError):
-        return False
+def _der_fits(data: bytes) -> bool:
+    """One DER sequence of just its stated length."""
     if len(data) < 2 or data[0] != 0x30:
         return False
     if data[1] < 0x80:
@@ -83,13 +79,45 @@ def _der_fits(m: re.Match) -> bool:
     return 0 < size <= 4 and len(data) == 2 + size + int.from_bytes(data[2 : 2 + size], "big")
 
 
+OPENSSH_MAGIC = b"openssh-key-v1\0"
+
+
+def _openssh_fits(data: bytes) -> bool:
+    """The magic, then cipher, kdf, its options, the number of keys, as many public keys and one private part, by their length fields."""
+    if not data.startswith(OPENSSH_MAGIC):
+        return False
+    at, left, counted = len(OPENSSH_MAGIC), 3, False
+    while left or not counted:
+        if at + 4 > len(data):
+            return False
+        n = int.from_bytes(data[at : at + 4], "big")
+        at += 4
+        if left:
+            at, left = at + n, left - 1
+        else:
+            left, counted = n + 1, True
+    return at == len(data)
+
+
+def _key_fits(m: re.Match) -> bool:
+    """The block decodes to what its label and header lines say."""
+    try:
+        data = base64.b64decode("".join(m[3].split()), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    if "ENCRYPTED" in m[2]:
+        size = 16 if re.search("AES|CAMELLIA|SEED", m[2]) else 8
+        return len(data) > 0 and len(data) % size == 0
+    return _openssh_fits(data) if m[1].startswith("OPENSSH ") else _der_fits(data)
+
+
 VALID = {
     "assign": lambda m: len(m[2]) >= 6,
     "access": lambda m: len(m[0]) >= 20,
     "github": _crc_fits,
     "npm": _crc_fits,
     "jwt": _json_header,
-    "pem": _der_fits,
+    "pem": _key_fits,
 }
 
 

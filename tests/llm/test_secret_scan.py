@@ -1,5 +1,6 @@
 """Secret spans against plain regular expressions, and defined edge cases."""
 
+import base64
 import hashlib
 import random
 import re
@@ -50,6 +51,18 @@ def test_checked_formats():
     assert s.spans(pem.replace("MAMC", "MAQC"), words) == []
 
 
+def test_openssh_and_encrypted_keys():
+    words, field = s.automaton(), lambda x: len(x).to_bytes(4, "big") + x
+    data = b"openssh-key-v1\0" + field(b"none") + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"public" * 8) + field(b"private" * 20)
+    block = lambda data, label, head="": f"-----BEGIN {label} PRIVATE KEY-----\n{head}{base64.encodebytes(data).decode()}-----END {label} PRIVATE KEY-----"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    for good in (block(data, "OPENSSH"), block(bytes(64), "RSA", head), block(bytes(24), "RSA", head.replace("AES-128", "DES-EDE3")).replace("\n", "\n  ")):
+        assert s.spans(f"see {good}.", words) == [(4, 4 + len(good), "pem")], good
+        assert s.redact(good, s.spans(good, words), "[secret]") == "[secret]"
+    for bad in (block(data[:-1], "OPENSSH"), block(data + b"x", "OPENSSH"), block(data, "RSA"), block(bytes(63), "RSA", head), block(bytes(64), "RSA")):
+        assert s.spans(bad, words) == [], bad
+
+
 def test_redact_merges_overlaps():
     text = 'a token = "' + "0123456789abcdef" * 2 + '" b'
     assert s.redact(text, s.spans(text, s.automaton()), "[secret]") == 'a [secret]" b'
