@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,14 +19,18 @@ BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
-    """Small Arrow batches, so that many long texts don't meet in one."""
+    """Small Arrow batches, so that many long texts don't meet in one; shuffle files go when the job that read them is over."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "16m")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of this machine only where the session names none, as in tests."""
+    """The folder that all executors share. Where the session names none, local mode takes a folder of its machine; a cluster has none to take."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="granary-")
         spark.conf.set("spark.checkpoint.dir", folder) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return folder.rstrip("/")
@@ -37,7 +42,17 @@ def written(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     path = f"{scratch_folder(spark)}/granary/{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._granary_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() that no later job reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._granary_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def map_batches(df: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], dict | None], setup: Callable | None = None) -> DataFrame:

@@ -1,31 +1,36 @@
 """Operator 7: a quality classifier by the perplexity of an interpolated modified Kneser-Ney trigram model.
 
-The model learns words from all trusted documents (label quality 1, toxic 0) outside the held-out fifth, a language each. `train_docs` and
-`train_share` below 1 would learn from so many of them and that share of the further ones, drawn by a hash of their id.
-Counts, adjusted (continuation) counts, discounts and interpolated probabilities are DataFrame aggregates and joins on the n-grams.
+The model learns from all trusted documents (label quality 1, toxic 0) outside the held-out fifth, a language each. Texts are hashed in
+packs, a language each; what a pack sends on are its distinct n-grams only, sorted by key, a row for each shard of the keys:
 
-Scoring is a join of the documents' n-grams with the model, sharded by key. The logarithm of an interpolated probability is written
-as a sum: the unknown word's share, what the word adds to it, the weight of the context v, what the pair adds to both, the weight of the
-context u v, and what the triple adds. An n-gram that the model doesn't have adds nothing, so a document's logarithm is the sum over its
-n-grams of one table's values. Keys are 64-bit hashes. Two tables of bounded size are broadcast and save most of the join's rows:
-the most frequent entries (at most `hot_entries`, by a count above a cutoff), added up in the first pass, and a bit map of all keys (at
-most 2^`most_bits` bits, two a key), which holds back most n-grams that the model doesn't have. A wrong hit of the map finds nothing in the join.
+1. Pairs. A shard finds in how many contexts each pair (v, w) is (the adjusted count; at a text's start there is one context, so its count
+   stays), and per word the sums over its pairs, which a second shuffle adds up.
+2. Contexts. A shard counts the words that follow each pair (u, v).
+3. Scoring, in `rounds` of packs: a pack asks the shards for its distinct words, pairs and triples; the shards answer with counts in the
+   same order; the pack adds up the logarithms of its texts' probabilities. Discounts are one row a language.
 
-Documents are kept if their perplexity per word is at most `slack` times a quantile of the trusted documents of their language and
-length band. The model never sees a fifth of the trusted documents (by a hash of the id); the quantiles come from all of these.
-Languages without enough of them use the quantiles of all; one that the model doesn't know has no limit. There is no lower limit: documents that the model has learnt from score low.
+Keys are 48 bits of a word (with its language) and 56 bits of a pair; a triple is a word under its pair. No key gathers the rows of a
+frequent word: pairs and contexts are sharded by both of their words, and sums per word are added up before they are shuffled.
+
+A document's log perplexity x per word is compared within its language: m is the mean of the held-out trusted documents of the language and
+a + b / (n + 1) the variance about it that least squares give for n words, so short texts may deviate more. The document is kept if
+(x - m) / sqrt(a + b / (n + 1)) is at most the `quantile` of that ratio among them. The model has seen none of these.
+Languages with fewer than `min_trusted` of them use the ratios and moments of all languages; one that the model doesn't know has no limit.
 
 A word's closing . , ; : doesn't count. Unknown words share what the unigrams' discounts leave, in equal parts.
 
 Defined results: a null or empty text has no words, null perplexity and isn't kept. A null language is the language ""; languages
 that the model doesn't know are scored with unknown words of probability 1e-7, and their texts with words are kept: nothing was learnt
-that could speak against them. Without trusted labels nothing is judged and every text with
-words is kept. Repeated rows give repeated rows; other columns are ignored.
+that could speak against them. Labels that conflict count as not trusted. Without trusted labels nothing is judged and every text with
+words is kept. Repeated rows give repeated rows (a trusted text counts as often in training); other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,30 +39,26 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Recent, documents, map_batches, mixed, written
+from granary.llm.common import Recent, discard, documents, map_batches, mixed, written
 
-BEGIN, END = "<s>", "</s>"
-#: Kinds of entries, which keep their keys apart.
-WORD, CONTEXT1, PAIR, CONTEXT2, TRIPLE, LANGUAGE = (np.uint64(k) for k in range(1, 7))
 UNKNOWN_LANGUAGE = float(np.log(1e-7))
+PAIRS, WORDS, CONTEXTS = 0, 1, 2
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """quantile, slack: a document is kept up to slack * quantile of held-out trusted perplexity. bands: words at which a length band starts.
+    """pack_words: words of a language that a task gathers into a pack. shard_bytes: training text that a shard of the model stands for.
 
-    broadcast_ids: up to so many ids of training documents are broadcast; more are joined by shuffle.
+    rounds: how many parts of the documents are scored one after the other, at most; a part is not made smaller than round_bytes of text.
+    Both bound what is on disk at a time, not what is scored. quantile: of the held-out trusted documents that are kept.
     """
 
-    train_docs: int = 500
-    train_share: float = 1.0
-    hot_entries: int = 1_000_000
-    most_bits: int = 29
-    broadcast_ids: int = 1_000_000
+    pack_words: int = 2_000_000
+    shard_bytes: int = 6_000_000
+    rounds: int = 6
+    round_bytes: int = 64_000_000
     quantile: float = 0.99
-    slack: float = 1.5
-    bands: tuple[int, ...] = (20, 60, 200, 1000)
-    min_trusted: int = 100
+    min_trusted: int = 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,8 +66,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
-    good = (F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)
-    return labels.filter(good & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct()
+    rows = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    return rows.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).filter((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0)).select("doc_id")
 
 
 def held_out() -> Column:
@@ -81,253 +82,559 @@ class Hashes(Recent):
         return xxhash.xxh3_64_intdigest(key.rstrip(b".,;:") or key)
 
 
-def lang_hash(lang: str | None) -> np.uint64:
-    return np.uint64(xxhash.xxh3_64_intdigest((lang or "").encode(), seed=7))
+def word_keys(lang: str, h: np.ndarray) -> np.ndarray:
+    """48-bit keys of a language's words from their hashes."""
+    return mixed(h ^ np.uint64(xxhash.xxh3_64_intdigest(lang.encode(), seed=7))) >> np.uint64(16)
 
 
-def hashed(known: Hashes, text: str | None) -> np.ndarray:
-    words = text.encode().split() if text else []
-    return np.fromiter((known[w] for w in words), np.uint64, len(words))
+def ends(lang: str) -> np.ndarray:
+    """Keys of the marks of a text's beginning and end, which no word has."""
+    return word_keys(lang, np.array([xxhash.xxh3_64_intdigest(x, seed=1) for x in (b"begin", b"end")], np.uint64))
 
 
-def batch_langs(batch: pa.RecordBatch) -> np.ndarray:
-    return np.fromiter(map(lang_hash, batch["lang"].to_pylist()), np.uint64, batch.num_rows)
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """56-bit keys of pairs of words."""
+    with np.errstate(over="ignore"):
+        return mixed(mixed(v * np.uint64(0x9FB21C651E98DF25)) + w * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(8)
 
 
-def signed(hashes: np.ndarray) -> np.ndarray:
-    """As Spark's longs."""
-    return hashes.astype(np.uint64).view(np.int64)
+def low(w: np.ndarray) -> np.ndarray:
+    """32 bits that tell words under a pair apart."""
+    return (w & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def word_lit(word: str) -> Column:
-    return F.lit(int(signed(np.array([Hashes().compute(word.encode())], np.uint64))[0]))
+def shard_of(key: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Shards are ranges of keys, so sorted keys have sorted shards."""
+    return (key >> np.uint64(bits - 32)) * np.uint64(shards) >> np.uint64(32)
 
 
-def sample(docs: DataFrame, labels: DataFrame, p: Parameters) -> DataFrame:
-    """lang and words of the training documents, as hashes: long, array of long."""
-    known = written(trusted_ids(labels).filter(~held_out()))
-    n = known.count()
-    wanted = p.train_docs + p.train_share * (n - p.train_docs)
-    ids = known if n <= p.train_docs else known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(wanted / n * (1 << 20)))
-    ids = F.broadcast(ids) if min(n, wanted) <= p.broadcast_ids else ids
+def squeeze(x: np.ndarray) -> bytes:
+    """Counts as planes of as many bytes as the largest needs, compressed; the reader knows how many there are."""
+    top = int(x.max()) if len(x) else 0
+    size = next(s for s in (1, 2, 4, 8) if top < 1 << 8 * s)
+    planes = x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T
+    return bytes([size]) + pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
 
-    def rows(batch, known: Hashes) -> dict:
-        texts = [hashed(known, t) for t in batch["text"].to_pylist()]
-        ends = pa.array(np.cumsum([0, *map(len, texts)]), pa.int32())
-        return {"lang": signed(batch_langs(batch)), "words": pa.ListArray.from_arrays(ends, pa.array(signed(np.concatenate(texts))))}
 
-    found = map_batches(documents(docs, "doc_id", "lang", "text").join(ids, "doc_id", "left_semi"), "lang long, words array<long>", rows, Hashes)
-    return written(found.filter(F.size("words") > 0))
+def unsqueeze(data: bytes, n: int) -> np.ndarray:
+    size = data[0]
+    planes = np.frombuffer(pa.decompress(data[1:], n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{size}").reshape(-1).astype(np.int64)
 
 
-def discounts(counts: DataFrame, name: str) -> DataFrame:
-    """d1, d2, d3 per language from the counts of counts; where they don't work out, 0.5, 1 and 1.5."""
-    n = [F.sum((F.col(name) == k).cast("double")).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    rows = counts.groupBy("lang").agg(*n)
-    y = F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0))
-    out = []
-    for k, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
-        d = k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
-        out.append(F.when((d > 0) & (d < k), d).otherwise(F.lit(usual)).alias(f"d{k}"))
-    return rows.select("lang", *out)
-
-
-def _cut(name: str) -> Column:
-    """The discount of a count."""
-    return F.when(F.col(name) == 1, F.col("d1")).when(F.col(name) == 2, F.col("d2")).otherwise(F.col("d3"))
-
-
-def _smoothed(counts: DataFrame, context: list[str], name: str) -> tuple[DataFrame, DataFrame]:
-    """counts with own (discounted part of the probability), and per context the weight of the lower order."""
-    with_d = counts.join(discounts(counts, name), "lang")
-    by = with_d.groupBy("lang", *context).agg(F.sum(name).alias("all"), F.sum(_cut(name)).alias("left"))
-    rows = with_d.join(by, ["lang", *context]).withColumn("own", (F.col(name) - _cut(name)) / F.col("all"))
-    return rows.drop("d1", "d2", "d3", "all", "left"), by.select("lang", *context, (F.col("left") / F.col("all")).alias("lower"), F.col("all").alias("c"))
-
-
-def train(found: DataFrame) -> DataFrame:
-    """kind, lang, u, v, w, c (how often) and value (what the entry adds to the logarithm of a probability)."""
-    begin = word_lit(BEGIN)
-    padded = F.concat(F.array(begin, begin), "words", F.array(word_lit(END)))
-    grams = found.select("lang", padded.alias("x")).select(
-        "lang", F.explode(F.transform(F.sequence(F.lit(1), F.size("x") - 2), lambda i: F.struct(F.get("x", i - 1).alias("u"), F.get("x", i).alias("v"), F.get("x", i + 1).alias("w")))).alias("g"),
-    )
-    c3 = written(grams.groupBy("lang", "g.u", "g.v", "g.w").agg(F.count("*").alias("c")))
-    # a pair's adjusted count is the number of words before it; at the start there is one, so it keeps its count
-    c2 = written(c3.groupBy("lang", "v", "w").agg(F.when(F.col("v") == begin, F.sum("c")).otherwise(F.count("*")).alias("c")))
-    c1 = written(c2.groupBy("lang", "w").agg(F.count("*").alias("c")))
-    own1, _ = _smoothed(c1, [], "c")
-    left = c1.join(discounts(c1, "c"), "lang").groupBy("lang").agg((F.sum(_cut("c")) / F.sum("c") / (F.count("*") + 1)).alias("unknown"), F.sum("c").alias("all"))
-    left = written(left)
-    words = written(own1.join(left, "lang").select("lang", "w", "c", "unknown", (F.col("own") + F.col("unknown")).alias("p")))
-    own2, lower2 = _smoothed(c2, ["v"], "c")
-    pairs = own2.join(lower2.drop("c"), ["lang", "v"]).join(words.select("lang", "w", F.col("p").alias("p1")), ["lang", "w"])
-    from_word = F.col("lower") * F.col("p1")
-    pairs = written(pairs.select("lang", "v", "w", "c", from_word.alias("lower_p"), (F.col("own") + from_word).alias("p")))
-    own3, lower3 = _smoothed(c3, ["u", "v"], "c")
-    triples = own3.join(lower3.drop("c"), ["lang", "u", "v"]).join(pairs.select("lang", "v", "w", F.col("p").alias("p2")), ["lang", "v", "w"])
-    from_pair = F.col("lower") * F.col("p2")
-    triples = triples.select("lang", "u", "v", "w", "c", from_pair.alias("lower_p"), (F.col("own") + from_pair).alias("p"))
-    none = F.lit(None).cast("bigint")
-
-    def entries(kind: np.uint64, rows: DataFrame, value: Column, *names: str) -> DataFrame:
-        """Rows of one kind, its words in the last of the three places."""
-        places = [none.alias(x) for x in "uvw"[: 3 - len(names)]] + [F.col(n).alias(x) for n, x in zip(names, "uvw"[3 - len(names) :], strict=True)]
-        return rows.select(F.lit(int(kind)).alias("kind"), "lang", *places, F.col("c" if kind != LANGUAGE else "all").alias("c"), value.alias("value"))
-
-    out = entries(LANGUAGE, left, F.log("unknown") - UNKNOWN_LANGUAGE)
-    out = out.unionByName(entries(WORD, words, F.log("p") - F.log("unknown"), "w"))
-    out = out.unionByName(entries(CONTEXT1, lower2, F.log("lower"), "v"))
-    out = out.unionByName(entries(PAIR, pairs, F.log("p") - F.log("lower_p"), "v", "w"))
-    out = out.unionByName(entries(CONTEXT2, lower3, F.log("lower"), "u", "v"))
-    return out.unionByName(entries(TRIPLE, triples, F.log("p") - F.log("lower_p"), "u", "v", "w"))
-
-
-def key(kind: np.uint64, lang: np.ndarray | np.uint64, *words: np.ndarray) -> np.ndarray:
-    """The key of an entry from the hashes of its language and words."""
-    with np.errstate(over="ignore"):
-        out = mixed(np.atleast_1d(lang) + kind * np.uint64(0xD6E8FEB86659FD93))
-        for h in words:
-            out = mixed(out * np.uint64(0x9FB21C651E98DF25) + h)
-    return out
+def low_bytes(x: np.ndarray, n: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
+
+
+def from_low_bytes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(-1, n)
+    return out.view("<u8").reshape(-1).astype(np.uint64)
+
+
+def sorted_keys(keys: np.ndarray, bits: int) -> list[bytes]:
+    """Sorted keys: their first 16 bits as steps, the rest plain."""
+    return [squeeze(np.diff(keys >> np.uint64(bits - 16), prepend=np.uint64(0))), low_bytes(keys, bits // 8 - 2)]
+
+
+def read_sorted(steps: bytes, rest: bytes, bits: int) -> np.ndarray:
+    out = from_low_bytes(rest, bits // 8 - 2)
+    return np.cumsum(unsqueeze(steps, len(out))).astype(np.uint64) << np.uint64(bits - 16) | out
+
+
+def bundle(*parts: bytes) -> bytes:
+    return np.array([len(p) for p in parts], "<u4").tobytes() + b"".join(parts)
+
+
+def unbundle(data: bytes, n: int) -> list[bytes]:
+    at = 4 * n + np.concatenate([[0], np.cumsum(np.frombuffer(data[: 4 * n], "<u4").astype(np.int64))])
+    return [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+
+
+def emit(schema: pa.Schema, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+
+PACKS = "pack long, lang string, doc_ids array<long>, sizes array<int>, words binary"
+_PACKS = pa.schema([("pack", pa.int64()), ("lang", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())), ("words", pa.binary())])
+
+
+def packs(docs: DataFrame, pack_words: int) -> DataFrame:
+    """Whole texts as word keys, a language each: the distinct keys, most frequent first, and each word's place among them."""
+
+    def row(pack: int, lang: str, held: list) -> tuple:
+        h, place, n = np.unique(np.concatenate([x for _, x in held]), return_inverse=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        rank = np.empty(len(h), np.int64)
+        rank[order] = np.arange(len(h))
+        words = bundle(low_bytes(word_keys(lang, h[order]), 6), squeeze(rank[place]))
+        return pack, lang, [d for d, _ in held], [len(x) for _, x in held], words
 
+    def run(batches):
+        known, held, total = Hashes(), defaultdict(list), defaultdict(int)
+        pack = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for doc_id, lang, text in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                words = text.encode().split() if text else []
+                held[lang or ""].append((doc_id, np.fromiter((known[w] for w in words), np.uint64, len(words))))
+                total[lang or ""] += len(words) + 1
+                if sum(total.values()) >= pack_words:
+                    most = max(total, key=total.get)
+                    yield from emit(_PACKS, [row(pack, most, held.pop(most))])
+                    pack += 1
+                    del total[most]
+        for k, (lang, texts) in enumerate(held.items()):
+            yield from emit(_PACKS, [row(pack + k, lang, texts)])
 
-def keyed(entries: DataFrame) -> DataFrame:
-    """key, c, value of the model's entries."""
+    return documents(docs, "doc_id", "lang", "text").mapInArrow(run, PACKS)
 
-    def rows(batch) -> dict:
-        kinds = batch["kind"].to_numpy()
-        langs, *places = [batch[x].fill_null(0).to_numpy().view(np.uint64) for x in ("lang", "u", "v", "w")]
-        out = np.empty(len(kinds), np.uint64)
-        for kind, n in ((LANGUAGE, 0), (WORD, 1), (CONTEXT1, 1), (PAIR, 2), (CONTEXT2, 2), (TRIPLE, 3)):
-            at = kinds == int(kind)
-            out[at] = key(kind, langs[at], *[h[at] for h in places[3 - n :]])
-        return {"key": signed(out), "c": batch["c"], "value": batch["value"]}
 
-    return map_batches(entries, "key long, c long, value double", rows)
+class Grams:
+    """A pack's words and n-grams: u, v, w per place, the pairs (v, w) and the contexts (u, v)."""
+
+    def __init__(self, lang: str, sizes: list[int], words: bytes):
+        keys, places = unbundle(words, 2)
+        self.vocabulary = from_low_bytes(keys, 6)
+        self.sizes = np.array(sizes, np.int64)
+        n = int(self.sizes.sum())
+        self.place = unsqueeze(places, n) if n else np.empty(0, np.int64)
+        begin, end = ends(lang)
+        self.every = np.concatenate([self.vocabulary, [begin, end]])
+        worded = self.sizes[self.sizes > 0]
+        at = np.concatenate([[0], np.cumsum(worded + 3)])
+        x = np.full(at[-1], len(self.vocabulary), np.int64)  # two beginnings before each text, an end behind it
+        x[at[1:] - 1] = len(self.vocabulary) + 1
+        inner = np.ones(len(x), bool)
+        inner[at[:-1]] = inner[at[:-1] + 1] = inner[at[1:] - 1] = False
+        x[inner] = self.place
+        third = np.ones(len(x), bool)
+        third[at[:-1]] = third[at[:-1] + 1] = False
+        w = np.flatnonzero(third)
+        self.u, self.v, self.w = x[w - 2], x[w - 1], x[w]
+        self.begin = len(self.vocabulary)
+        self.pair = pair_keys(self.every[self.v], self.every[self.w])
+        self.context = pair_keys(self.every[self.u], self.every[self.v])
+
+    def __bool__(self) -> bool:
+        return len(self.w) > 0
+
+
+def nested(parent: np.ndarray, child: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (parent number, child) sorted: parents, children, how often, and for each input its number."""
+    found, number, n = np.unique(parent.astype(np.uint64) << np.uint64(32) | child.astype(np.uint64), return_inverse=True, return_counts=True)
+    return (found >> np.uint64(32)).astype(np.int64), low(found), n, number
+
+
+SENT = "shard int, lang string, kind int, pack long, data binary"
+_SENT = pa.schema([("shard", pa.int32()), ("lang", pa.string()), ("kind", pa.int32()), ("pack", pa.int64()), ("data", pa.binary())])
+
+
+def by_shard(shard: np.ndarray, shards: int) -> list[tuple[int, int, int]]:
+    """(shard, first, end) of the shards that occur in sorted shard numbers."""
+    at = np.searchsorted(shard, np.arange(shards + 1))
+    return [(s, int(at[s]), int(at[s + 1])) for s in np.flatnonzero(at[1:] > at[:-1])]
+
+
+def _send(held: DataFrame, rows) -> DataFrame:
+    """mapInArrow over packs; rows(grams, lang, pack) gives rows of SENT."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                g = Grams(r["lang"], r["sizes"], r["words"])
+                if g:
+                    yield from emit(_SENT, rows(g, r["lang"], r["pack"]))
+
+    return held.mapInArrow(run, SENT)
+
+
+def sent_pairs(held: DataFrame, shards: int) -> DataFrame:
+    """A pack's distinct pairs (v, w), sorted by key: both words, how many words u before it and these, and how often each."""
+
+    def rows(g: Grams, lang: str, pack: int) -> list[tuple]:
+        keys, first, number = np.unique(g.pair, return_index=True, return_inverse=True)
+        parent, child, n, _ = nested(number, low(g.every[g.u]))
+        kids = np.bincount(parent, minlength=len(keys))
+        starts = np.concatenate([[0], np.cumsum(kids)])
+        v, w = g.every[g.v[first]], g.every[g.w[first]]
+        n = np.where(g.v[first][parent] == g.begin, n, 1)
+        return [
+            (s, lang, PAIRS, pack, bundle(low_bytes(v[a:b], 6), low_bytes(w[a:b], 6), squeeze(kids[a:b]), child[starts[a] : starts[b]].tobytes(), squeeze(n[starts[a] : starts[b]])))
+            for s, a, b in by_shard(shard_of(keys, 56, shards), shards)
+        ]
+
+    return _send(held, rows)
+
+
+def sent_contexts(held: DataFrame, shards: int) -> DataFrame:
+    """A pack's distinct contexts (u, v), sorted by key: how many words follow and these, and how often each."""
+
+    def rows(g: Grams, lang: str, pack: int) -> list[tuple]:
+        keys, number = np.unique(g.context, return_inverse=True)
+        parent, child, n, _ = nested(number, low(g.every[g.w]))
+        kids = np.bincount(parent, minlength=len(keys))
+        starts = np.concatenate([[0], np.cumsum(kids)])
+        return [
+            (s, lang, CONTEXTS, pack, bundle(*sorted_keys(keys[a:b], 56), squeeze(kids[a:b]), child[starts[a] : starts[b]].tobytes(), squeeze(n[starts[a] : starts[b]])))
+            for s, a, b in by_shard(shard_of(keys, 56, shards), shards)
+        ]
+
+    return _send(held, rows)
+
+
+MODEL = "shard int, lang string, kind int, pack long, data binary, c1 long, c2 long, c3 long, c4 long, total long, types long"
+_MODEL = pa.schema([*_SENT, *((n, pa.int64()) for n in ("c1", "c2", "c3", "c4", "total", "types"))])
+
+
+def counts_of(counts: np.ndarray) -> tuple[int, ...]:
+    """How many counts are 1, 2, 3 and 4, their sum and number: what a language's discounts are made of."""
+    return (*[int((counts == k).sum()) for k in (1, 2, 3, 4)], int(counts.sum()), len(counts))
+
+
+def by_three(place: np.ndarray, counts: np.ndarray, n: int) -> list[np.ndarray]:
+    """Per place the sum of counts, and how many are 1, 2 and above."""
+    add = lambda x: np.bincount(place, weights=x, minlength=n).astype(np.int64)
+    return [add(counts), add(counts == 1), add(counts == 2), add(counts > 2)]
+
+
+def _merged(sent: DataFrame, shards: int, merge) -> DataFrame:
+    """merge(lang, shard, rows' data) gives rows of MODEL; called for each shard and language."""
+
+    def run(batches):
+        now, held = None, []
+        for batch in batches:
+            for shard, lang, data in zip(batch["shard"].to_pylist(), batch["lang"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                if (shard, lang) != now and held:
+                    yield from emit(_MODEL, merge(now[1], now[0], held))
+                    held = []
+                now = shard, lang
+                held.append(data)
+        if held:
+            yield from emit(_MODEL, merge(now[1], now[0], held))
+
+    return sent.repartitionById(shards, "shard").sortWithinPartitions("shard", "lang").mapInArrow(run, MODEL)
+
+
+def _gathered(keys: list[np.ndarray], kids: list[np.ndarray], child: list[np.ndarray], n: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, where each first was, and the distinct (key number, child) with their sums."""
+    every, first, number = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    parent = np.repeat(number, np.concatenate(kids))
+    key, at = np.unique(parent.astype(np.uint64) << np.uint64(32) | np.concatenate(child).astype(np.uint64), return_inverse=True)
+    return every, first, (key >> np.uint64(32)).astype(np.int64), low(key), np.bincount(at, weights=np.concatenate(n), minlength=len(key)).astype(np.int64)
+
+
+def merge_pairs(shards: int):
+    def merge(lang: str, shard: int, held: list[bytes]) -> list[tuple]:
+        vs, ws, kids, child, n = [], [], [], [], []
+        for data in held:
+            v, w, k, c, m = unbundle(data, 5)
+            vs.append(from_low_bytes(v, 6))
+            ws.append(from_low_bytes(w, 6))
+            kids.append(unsqueeze(k, len(vs[-1])))
+            child.append(np.frombuffer(c, np.uint32))
+            n.append(unsqueeze(m, len(child[-1])))
+        v, w = np.concatenate(vs), np.concatenate(ws)
+        keys, first, parent, _, n = _gathered([pair_keys(v, w)], kids, child, n)
+        v, w = v[first], w[first]
+        n = np.where(v[parent] == ends(lang)[0], n, 1)  # packs may have the same triple
+        c2 = np.bincount(parent, weights=n, minlength=len(keys)).astype(np.int64)
+        out = [(shard, lang, PAIRS, None, bundle(*sorted_keys(keys, 56), squeeze(c2)), *counts_of(c2))]
+        words = np.unique(np.concatenate([v, w]))
+        sums = by_three(np.searchsorted(words, v), c2, len(words))
+        before = np.bincount(np.searchsorted(words, w), minlength=len(words))
+        for s, a, b in by_shard(shard_of(words, 48, shards), shards):
+            out.append((s, lang, WORDS, None, bundle(low_bytes(words[a:b], 6), squeeze(before[a:b]), *[squeeze(x[a:b]) for x in sums]), *[None] * 6))
+        return out
+
+    return merge
+
+
+def merge_words(lang: str, shard: int, held: list[bytes]) -> list[tuple]:
+    rows = [unbundle(d, 6) for d in held]
+    keys = [from_low_bytes(r[0], 6) for r in rows]
+    words, at = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = [np.bincount(at, weights=np.concatenate([unsqueeze(r[i], len(k)) for r, k in zip(rows, keys, strict=True)]), minlength=len(words)).astype(np.int64) for i in range(1, 6)]
+    return [(shard, lang, WORDS, None, bundle(*sorted_keys(words, 48), *map(squeeze, sums)), *counts_of(sums[0][sums[0] > 0]))]
+
+
+def merge_contexts(lang: str, shard: int, held: list[bytes]) -> list[tuple]:
+    keys, kids, child, n = [], [], [], []
+    for data in held:
+        a, b, k, c, m = unbundle(data, 5)
+        keys.append(read_sorted(a, b, 56))
+        kids.append(unsqueeze(k, len(keys[-1])))
+        child.append(np.frombuffer(c, np.uint32))
+        n.append(unsqueeze(m, len(child[-1])))
+    every, _, parent, child, n = _gathered(keys, kids, child, n)
+    kids = np.bincount(parent, minlength=len(every))
+    return [(shard, lang, CONTEXTS, None, bundle(*sorted_keys(every, 56), squeeze(kids), child.tobytes(), squeeze(n)), *counts_of(n))]
 
 
 @dataclass
-class Filter:
-    """What is broadcast: a bit map of all keys, and the frequent entries by sorted key."""
-
-    bits: int
-    bitmap: np.ndarray
-    hot_keys: np.ndarray
-    hot_values: np.ndarray
-
-    def may_have(self, keys: np.ndarray) -> np.ndarray:
-        """Whether both of a key's bits, placed by its first and its last bits, are set."""
-        return self._set(keys >> np.uint64(64 - self.bits)) & self._set(keys & np.uint64((1 << self.bits) - 1))
-
-    def _set(self, at: np.ndarray) -> np.ndarray:
-        return (self.bitmap[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-    def hot(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each key is frequent, and its value or 0."""
-        if not len(self.hot_keys):
-            return np.zeros(len(keys), bool), np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.hot_keys, keys), len(self.hot_keys) - 1)
-        hit = self.hot_keys[at] == keys
-        return hit, np.where(hit, self.hot_values[at], 0.0)
-
-
-def make_filter(model: DataFrame, p: Parameters) -> tuple[Filter, int]:
-    """The filter and the count from which entries are frequent. The driver receives at most 2^most_bits bits and hot_entries entries."""
-    most = 10_000
-    sizes = sorted(model.groupBy(F.least("c", F.lit(most)).alias("c")).count().collect(), reverse=True)
-    n, cutoff, taken = sum(r["count"] for r in sizes), most + 1, 0
-    for r in sizes:
-        taken += r["count"]
-        if taken > p.hot_entries:
-            break
-        cutoff = r["c"]
-    bits = min(p.most_bits, max(10, (16 * n).bit_length()))
-    places = F.array(F.shiftrightunsigned("key", 64 - bits), F.col("key").bitwiseAND(F.lit((1 << bits) - 1)))
-    at = F.col("at")
-    chunks = model.select(F.explode(places).alias("at")).groupBy(F.shiftright(at, 6).alias("chunk")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(F.lit(63)).cast("int"))).alias("set")).toArrow()
-    bitmap = np.zeros(max(1, 1 << bits - 6), np.int64)
-    bitmap[chunks["chunk"].to_numpy()] = chunks["set"].to_numpy()
-    hot = model.filter(F.col("c") >= cutoff).select("key", "value").toArrow() if taken and cutoff <= most else None
-    keys = hot["key"].to_numpy().view(np.uint64) if hot else np.empty(0, np.uint64)
-    order = np.argsort(keys)
-    values = hot["value"].to_numpy()[order] if hot else np.empty(0)
-    return Filter(bits, bitmap.view(np.uint64), keys[order], values), cutoff
-
-
-def entries_of(f: Filter, lang: np.uint64, h: np.ndarray, begin: np.uint64, end: np.uint64) -> np.ndarray:
-    """Keys of the entries that a text's probabilities look for, but for those that can't be there: no pair is in the model without its words."""
-    x = np.concatenate([[begin, begin], h, [end]])
-    u, v, w = x[:-2], x[1:-1], x[2:]
-    words, contexts, pairs = key(WORD, lang, w), key(CONTEXT1, lang, v), key(PAIR, lang, v, w)
-    longer, triples = key(CONTEXT2, lang, u, v), key(TRIPLE, lang, u, v, w)
-    word, context = f.may_have(words), f.may_have(contexts)
-    pair = word & context & f.may_have(pairs)
-    before = np.concatenate([[True], pair[:-1]])  # a context of two words is the pair one word earlier; the first context is no pair
-    both = before & f.may_have(longer)
-    triple = pair & both & f.may_have(triples)
-    return np.concatenate([np.repeat(key(LANGUAGE, lang), len(w)), words[word], contexts[context], pairs[pair], longer[both], triples[triple]])
-
-
-def perplexities(docs: DataFrame, model: DataFrame, p: Parameters) -> DataFrame:
-    """doc_id, lang_key, n_words and perplexity of every whole text."""
-    filter_, cutoff = make_filter(model, p)
-    sent = docs.sparkSession.sparkContext.broadcast(filter_)
-
-    def setup() -> dict:
-        known = Hashes()
-        return {"known": known, "next": TaskContext.get().partitionId() << 36, "begin": np.uint64(known[BEGIN.encode()]), "end": np.uint64(known[END.encode()])}
-
-    def rows(batch, state: dict) -> dict:
-        f, known = sent.value, state["known"]
-        langs = batch_langs(batch)
-        sizes, sums, keys, ends = [], [], [], [0]
-        for lang, text in zip(langs, batch["text"].to_pylist(), strict=True):
-            h = hashed(known, text)
-            sizes.append(len(h))
-            wanted = np.empty(0, np.uint64)
-            total = 0.0
-            if len(h):
-                wanted = entries_of(f, lang, h, state["begin"], state["end"])
-                hit, values = f.hot(wanted)
-                total, wanted = (len(h) + 1) * UNKNOWN_LANGUAGE + values.sum(), wanted[~hit]
-            sums.append(total)
-            keys.append(wanted)
-            ends.append(ends[-1] + len(wanted))
-        state["next"] += len(sizes)
-        first = state["next"] - len(sizes)
-        wanted = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(np.concatenate(keys))))
-        return {"row": np.arange(first, state["next"]), "doc_id": batch["doc_id"], "lang_key": signed(langs), "n_words": sizes, "total": sums, "keys": wanted}
-
-    found = map_batches(documents(docs, "doc_id", "lang", "text"), "row long, doc_id long, lang_key long, n_words long, total double, keys array<long>", rows, setup)
-    # one row a document that finds nothing (its key is its own number's hash, its value isn't read), and one a key still to be found
-    own = F.array(F.xxhash64("row"))
-    asked = found.select("row", "doc_id", "lang_key", "n_words", "total", F.posexplode(F.concat(own, "keys")).alias("at", "key"))
-    first = F.col("at") == 0
-    asked = asked.select("row", "key", *[F.when(first, F.col(c)).alias(c) for c in ("doc_id", "lang_key", "n_words", "total")])
-    rare = model.filter(F.col("c") < cutoff).select("key", "value")
-    values = F.when(F.col("n_words").isNull(), F.coalesce("value", F.lit(0.0))).otherwise(F.col("total"))
-    scored = asked.join(rare, "key", "left").groupBy("row").agg(*[F.max(c).alias(c) for c in ("doc_id", "lang_key", "n_words")], F.sum(values).alias("total"))
+class Model:
+    """shards, the tables of pairs, words and contexts, and per language the discounts of each order and the share of unknown words."""
+
+    shards: int
+    tables: list[DataFrame]
+    languages: DataFrame
+
+    def rows(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [t.filter(F.col("kind") == k).select(*_SENT.names) for t, k in zip(self.tables, (PAIRS, WORDS, CONTEXTS), strict=True)])
+
+
+def discounts(order: int) -> list[Column]:
+    """d1, d2, d3 from the counts of counts; where they don't work out, 0.5, 1 and 1.5."""
+    n = [F.col(f"c{k}").cast("double") for k in (1, 2, 3, 4)]
+    y = n[0] / F.nullif(n[0] + 2 * n[1], F.lit(0.0))
+    out = []
+    for k, usual in ((1, 0.5), (2, 1.0), (3, 1.5)):
+        d = k - (k + 1) * y * n[k] / F.nullif(n[k - 1], F.lit(0.0))
+        out.append(F.when((d > 0) & (d < k), d).otherwise(F.lit(usual)).alias(f"d{order}{k}"))
+    return out
+
+
+def train(held: DataFrame, shards: int) -> Model:
+    """The model of packs of training documents."""
+    pairs = written(_merged(sent_pairs(held, shards), shards, merge_pairs(shards)))
+    words = written(_merged(pairs.filter(F.col("kind") == WORDS).select(*_SENT.names), shards, merge_words))
+    contexts = written(_merged(sent_contexts(held, shards), shards, merge_contexts))
+    sums = lambda df, kind: df.filter(F.col("kind") == kind).groupBy("lang").agg(*[F.sum(c).alias(c) for c in _MODEL.names[5:]])
+    one = sums(words, WORDS).select("lang", *discounts(1), "total", "types", "c1", "c2")
+    left = F.col("d11") * F.col("c1") + F.col("d12") * F.col("c2") + F.col("d13") * (F.col("types") - F.col("c1") - F.col("c2"))
+    one = one.select("lang", "d11", "d12", "d13", F.col("total").cast("double").alias("total"), (left / F.col("total") / (F.col("types") + 1)).alias("unknown"))
+    two, three = sums(pairs, PAIRS).select("lang", *discounts(2)), sums(contexts, CONTEXTS).select("lang", *discounts(3))
+    return Model(shards, [pairs, words, contexts], written(one.join(two, "lang").join(three, "lang").coalesce(1)))
+
+
+ASK, ANSWER = 3, 4
+
+
+def asked(held: DataFrame, shards: int) -> DataFrame:
+    """What a pack wants to know: its distinct words; its distinct pairs, as pairs and as contexts; and the distinct words after each."""
+
+    def rows(g: Grams, lang: str, pack: int) -> list[tuple]:
+        q = Question(g)
+        starts = np.concatenate([[0], np.cumsum(q.kids)])
+        own = {s: (a, b) for s, a, b in by_shard(shard_of(q.words, 48, shards), shards)}
+        keys = {s: (a, b) for s, a, b in by_shard(shard_of(q.keys, 56, shards), shards)}
+        out = []
+        for s in sorted({*own, *keys}):
+            (a, b), (c, d) = own.get(s, (0, 0)), keys.get(s, (0, 0))
+            out.append((s, lang, ASK, pack, bundle(*sorted_keys(q.words[a:b], 48), *sorted_keys(q.keys[c:d], 56), squeeze(q.kids[c:d]), q.child[starts[c] : starts[d]].tobytes())))
+        return out
+
+    return _send(held, rows)
+
+
+class Question:
+    """The distinct words, pairs and triples of a pack in the order in which they are asked for, and where each place's are."""
+
+    def __init__(self, g: Grams):
+        used = np.concatenate([g.vocabulary, g.every[-2:]])
+        self.words, self.word = np.unique(used, return_inverse=True)
+        self.keys, number = np.unique(np.concatenate([g.pair, g.context]), return_inverse=True)
+        self.pair, self.context = number[: len(g.pair)], number[len(g.pair) :]
+        parent, self.child, _, self.triple = nested(self.context, low(g.every[g.w]))
+        self.kids = np.bincount(parent, minlength=len(self.keys))
+
+
+def found_at(model: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is among the sorted keys of the model, and whether it is."""
+    at = np.minimum(np.searchsorted(model, wanted), max(0, len(model) - 1))
+    return at, (model[at] == wanted) if len(model) else np.zeros(len(wanted), bool)
+
+
+class Shard:
+    """A language's words, pairs and contexts of one shard."""
+
+    def __init__(self, rows: dict[int, bytes]):
+        none = np.empty(0, np.uint64)
+        self.words, self.sums = none, [np.empty(0, np.int64)] * 5
+        if WORDS in rows:
+            a, b, *sums = unbundle(rows[WORDS], 7)
+            self.words = read_sorted(a, b, 48)
+            self.sums = [unsqueeze(s, len(self.words)) for s in sums]
+        self.pairs, self.c2 = none, np.empty(0, np.int64)
+        if PAIRS in rows:
+            a, b, c = unbundle(rows[PAIRS], 3)
+            self.pairs = read_sorted(a, b, 56)
+            self.c2 = unsqueeze(c, len(self.pairs))
+        self.contexts, self.triples, self.c3, self.after = none, none, np.empty(0, np.int64), [np.empty(0, np.int64)] * 4
+        if CONTEXTS in rows:
+            a, b, k, c, n = unbundle(rows[CONTEXTS], 5)
+            self.contexts = read_sorted(a, b, 56)
+            parent = np.repeat(np.arange(len(self.contexts)), unsqueeze(k, len(self.contexts)))
+            child = np.frombuffer(c, np.uint32)
+            self.triples = parent.astype(np.uint64) << np.uint64(32) | child
+            self.c3 = unsqueeze(n, len(child))
+            self.after = by_three(parent, self.c3, len(self.contexts))
+
+    def answer(self, data: bytes) -> bytes:
+        a, b, c, d, k, child = unbundle(data, 6)
+        words, keys, child = read_sorted(a, b, 48), read_sorted(c, d, 56), np.frombuffer(child, np.uint32)
+        value = lambda at, hit, x: squeeze(np.where(hit, x[at], 0) if len(x) else np.zeros(len(at), np.int64))
+        at, hit = found_at(self.words, words)
+        out = [value(at, hit, x) for x in self.sums]
+        at, hit = found_at(self.pairs, keys)
+        out.append(value(at, hit, self.c2))
+        at, hit = found_at(self.contexts, keys)
+        out += [value(at, hit, x) for x in self.after]
+        kids = unsqueeze(k, len(keys))
+        parent, known = np.repeat(at, kids), np.repeat(hit, kids)
+        at, hit = found_at(self.triples, parent.astype(np.uint64) << np.uint64(32) | child)
+        out.append(value(at, hit & known, self.c3))
+        return bundle(np.array([len(words), len(keys), len(child)], "<u4").tobytes(), *out)
+
+
+def answered(model: Model, questions: DataFrame) -> DataFrame:
+    """The shards' answers: pack, shard, data. A shard's model rows come before the questions of their language."""
+
+    def run(batches):
+        now, rows, shard_model = None, {}, None
+        for batch in batches:
+            out = []
+            for shard, lang, kind, pack, data in zip(*(batch[c].to_pylist() for c in _SENT.names), strict=True):
+                if (shard, lang) != now:
+                    now, rows, shard_model = (shard, lang), {}, None
+                if kind != ASK:
+                    rows[kind] = data
+                    continue
+                shard_model = shard_model or Shard(rows)
+                out.append((shard, lang, ANSWER, pack, shard_model.answer(data)))
+            yield from emit(_SENT, out)
+
+    rows = model.rows().unionByName(questions)
+    return rows.repartitionById(model.shards, "shard").sortWithinPartitions("shard", "lang", "kind").mapInArrow(run, SENT).select("pack", "shard", "data")
+
+
+SCORED = "doc_id long, lang string, n_words long, known boolean, total double"
+CONSTANTS = ["d11", "d12", "d13", "total", "unknown", "d21", "d22", "d23", "d31", "d32", "d33"]
+
+
+def cut(counts: np.ndarray, d: list[float]) -> np.ndarray:
+    """The discount of each count."""
+    return np.array([0.0, *d])[np.minimum(counts, 3)]
+
+
+def log_probabilities(g: Grams, constants: dict, answers: list[bytes]) -> np.ndarray:
+    """Of each place of a pack. answers: of all shards that were asked, in their order."""
+    q = Question(g)
+    parts = [unbundle(a, 12) for a in answers]
+    sizes = [np.frombuffer(p[0], "<u4").astype(int) for p in parts]
+    kinds = [0] * 5 + [1] * 5 + [2]
+    x = [np.concatenate([unsqueeze(p[i + 1], n[kind]) for p, n in zip(parts, sizes, strict=True)]) for i, kind in enumerate(kinds)]
+    c1, *after1 = x[:5]
+    c2, *after2, c3 = x[5:]
+    d = [[constants[f"d{order}{k}"] for k in (1, 2, 3)] for order in (1, 2, 3)]
+
+    def lower(after: list[np.ndarray], d: list[float]) -> np.ndarray:
+        """The weight of the lower order in each context: all where nothing was learnt."""
+        total, *n = after
+        left = sum(y * z for y, z in zip(d, n, strict=True))
+        return np.where(total > 0, left / np.maximum(total, 1), 1.0)
+
+    v, w = q.word[g.v], q.word[g.w]
+    p = ((c1 - cut(c1, d[0])) / constants["total"] + constants["unknown"])[w]
+    p = ((c2 - cut(c2, d[1]))[q.pair] / np.maximum(after1[0], 1)[v]) + lower(after1, d[1])[v] * p
+    return np.log((c3 - cut(c3, d[2]))[q.triple] / np.maximum(after2[0], 1)[q.context] + lower(after2, d[2])[q.context] * p)
+
+
+def settled(held: DataFrame, answers: DataFrame, model: Model) -> DataFrame:
+    """The texts of packs with the sums of their logarithms."""
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("n_words", pa.int64()), ("known", pa.bool_()), ("total", pa.float64())])
+
+    def run(own: pa.Table, answers: pa.Table) -> pa.Table:
+        rows = own.to_pylist()
+        if not rows:
+            return schema.empty_table()
+        r = rows[0]
+        g = Grams(r["lang"], r["sizes"], r["words"])
+        known = r["unknown"] is not None
+        totals = np.zeros(len(g.sizes))
+        if g and known:
+            by = answers.sort_by("shard")["data"].to_pylist()
+            worded = g.sizes > 0
+            first = np.concatenate([[0], np.cumsum(g.sizes[worded] + 1)[:-1]])
+            totals[worded] = np.add.reduceat(log_probabilities(g, r, by), first)
+        elif g:
+            totals = (g.sizes + 1) * UNKNOWN_LANGUAGE
+        return pa.table([r["doc_ids"], [r["lang"]] * len(totals), g.sizes, [known] * len(totals), totals], schema=schema)
+
+    own = held.join(model.languages, "lang", "left").select("pack", "lang", "doc_ids", "sizes", "words", *CONSTANTS)
+    return own.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, SCORED)
+
+
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+
+
+def learnt(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model | None:
+    """The model of all trusted documents outside the held-out fifth; none, if they have no words."""
+    rows = documents(docs, "doc_id", "lang", "text").join(trusted_ids(labels).filter(~held_out()), "doc_id", "left_semi")
+    held = written(packs(rows, p.pack_words))
+    sums = held.agg(F.sum(F.length("words")).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("words")).first()
+    if not sums["words"]:
+        return None
+    model = train(held, max(4, -(-6 * sums["words"] // p.shard_bytes)))
+    discard(held)
+    return model
+
+
+def perplexities(docs: DataFrame, model: Model, p: Parameters = Parameters()) -> DataFrame:
+    """doc_id, lang, n_words, known (whether the model knows the language) and perplexity of every whole text."""
+    rows = documents(docs, "doc_id", "lang", "text")
+    n = max(1, min(p.rounds, -(-text_bytes(rows) // p.round_bytes)))
+    part = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n))
+    done = []
+    for k in range(n):
+        held = written(packs(rows.filter(part == k), p.pack_words))
+        done.append(written(settled(held, answered(model, asked(held, model.shards)), model)))
+        discard(held)
     perplexity = F.when(F.col("n_words") > 0, F.exp(F.least(F.lit(500.0), -F.col("total") / (F.col("n_words") + 1))))
-    return scored.select("doc_id", "lang_key", "n_words", perplexity.alias("perplexity"))
+    return reduce(DataFrame.unionByName, done).select("doc_id", "lang", "n_words", "known", perplexity.alias("perplexity"))
+
+
+def limits(trusted: DataFrame, p: Parameters) -> DataFrame:
+    """lang, n, mean, a, b and top (the quantile of the ratio) of the trusted documents of each lang."""
+    rows = trusted.select("lang", F.log("perplexity").alias("x"), (1 / (F.col("n_words") + 1)).alias("inv"))
+    means = rows.groupBy("lang").agg(F.avg("x").alias("mean"), F.count("*").alias("n"))
+    off = (F.col("x") - F.col("mean")) * (F.col("x") - F.col("mean"))
+    fit = rows.join(means, "lang").withColumn("y", off).groupBy("lang", "mean", "n").agg(
+        F.regr_slope("y", "inv").alias("slope"), F.regr_intercept("y", "inv").alias("level"), F.avg("y").alias("flat"), F.avg("inv").alias("inv_mean"))
+    # a negative part of the variance is none; the other then has all of it
+    good = F.col("slope").isNotNull() & (F.col("slope") >= 0) & (F.col("level") > 0)
+    only = F.coalesce(F.col("slope") > 0, F.lit(False)) & ~good
+    a = F.when(good, F.col("level")).when(only, F.lit(0.0)).otherwise(F.col("flat"))
+    b = F.when(good, F.col("slope")).when(only, F.col("flat") / F.col("inv_mean")).otherwise(F.lit(0.0))
+    fit = fit.select("lang", "mean", "n", (a + 1e-6).alias("a"), b.alias("b"))
+    ratio = (F.col("x") - F.col("mean")) / F.sqrt(F.col("a") + F.col("b") * F.col("inv"))
+    return rows.join(fit, "lang").groupBy("lang", "mean", "n", "a", "b").agg(F.percentile_approx(ratio, F.lit(p.quantile), F.lit(10_000)).alias("top"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """doc_id, n_words, perplexity, limit and kept, one row per row of docs."""
-    found = sample(docs, labels, p)
-    band = sum((F.when(F.col("n_words") >= b, 1).otherwise(0) for b in p.bands), F.lit(0))
-    if found.isEmpty():
+    model = learnt(docs, labels, p)
+    if model is None:
         rows = map_batches(documents(docs, "doc_id", "text"), "doc_id long, n_words long", lambda b: {"doc_id": b["doc_id"], "n_words": [len(words_of(t)) for t in b["text"].to_pylist()]})
         none = F.lit(None).cast("double")
         return rows.select("doc_id", "n_words", none.alias("perplexity"), none.alias("limit"), (F.col("n_words") > 0).alias("kept"))
-    scored = written(perplexities(docs, written(keyed(train(found))), p).withColumn("band", band))
-    known = written(found.select(F.col("lang").alias("lang_key")).distinct().withColumn("known", F.lit(True)))
-    trusted = scored.filter(F.col("n_words") > 0).join(trusted_ids(labels).filter(held_out()), "doc_id", "left_semi")
-    limit = F.percentile_approx("perplexity", F.lit(p.quantile), F.lit(10_000)) * p.slack
-    own = written(trusted.groupBy("lang_key", "band").agg(F.count("*").alias("n"), limit.alias("own_limit")).filter(F.col("n") >= p.min_trusted).drop("n"))
-    every = written(trusted.groupBy("band").agg(limit.alias("all_limit")))
-    # one row a band, hence the broadcast; Spark sees to the other tables' sizes
-    rows = scored.join(own, ["lang_key", "band"], "left").join(known, "lang_key", "left").join(F.broadcast(every), "band", "left")
-    rows = rows.withColumn("limit", F.when(F.col("known"), F.coalesce("own_limit", "all_limit")))
+    scored = perplexities(docs, model, p)
+    trusted = written(scored.filter("n_words > 0 AND known").join(trusted_ids(labels).filter(held_out()), "doc_id", "left_semi"))
+    discard(*model.tables)
+    moments = ("mean", "a", "b", "top")
+    own = written(limits(trusted, p).filter(F.col("n") >= p.min_trusted).drop("n"))
+    every = limits(trusted.withColumn("lang", F.lit("")), p)
+    every = written(every.select(F.lit(True).alias("known"), *[F.col(c).alias(f"all_{c}") for c in moments]))
+    # one row a language, and one in all: Spark broadcasts them if they are small enough
+    rows = scored.join(own, "lang", "left").join(every, "known", "left")
+    x = {c: F.coalesce(c, f"all_{c}") for c in moments}
+    limit = F.when(F.col("known") & (F.col("n_words") > 0), F.exp(x["mean"] + x["top"] * F.sqrt(x["a"] + x["b"] / (F.col("n_words") + 1))))
+    rows = rows.select("doc_id", "n_words", "perplexity", limit.alias("limit"))
     kept = (F.col("n_words") > 0) & F.coalesce(F.col("perplexity") <= F.col("limit"), F.lit(True))
     return rows.select("doc_id", "n_words", "perplexity", "limit", kept.alias("kept"))
