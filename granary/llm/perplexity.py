@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Recent, discard, documents, map_batches, mixed, written
+from granary.llm.common import Recent, bucketed, discard, documents, map_batches, mixed, written
 
 UNKNOWN_LANGUAGE = float(np.log(1e-7))
 PAIRS, WORDS, CONTEXTS = 0, 1, 2
@@ -47,14 +47,16 @@ PAIRS, WORDS, CONTEXTS = 0, 1, 2
 
 @dataclass(frozen=True)
 class Parameters:
-    """pack_words: words of a language that a task gathers into a pack. shard_bytes: training text that a shard of the model stands for.
+    """pack_words: words of a language that a task gathers into a pack. shard_words: training words that a shard of the model stands for.
+    broadcast_ids: up to so many ids of training documents are broadcast; more are joined by shuffle.
 
     rounds: how many parts of the documents are scored one after the other, at most; a part is not made smaller than round_bytes of text.
     Both bound what is on disk at a time, not what is scored. quantile: of the held-out trusted documents that are kept.
     """
 
     pack_words: int = 2_000_000
-    shard_bytes: int = 6_000_000
+    shard_words: int = 500_000
+    broadcast_ids: int = 1_000_000
     rounds: int = 6
     round_bytes: int = 64_000_000
     quantile: float = 0.99
@@ -378,14 +380,15 @@ def merge_contexts(lang: str, shard: int, held: list[bytes]) -> list[tuple]:
 
 @dataclass
 class Model:
-    """shards, the tables of pairs, words and contexts, and per language the discounts of each order and the share of unknown words."""
+    """shards, the table of pairs, words and contexts, and per language the discounts of each order and the share of unknown words."""
 
     shards: int
-    tables: list[DataFrame]
+    table: DataFrame
     languages: DataFrame
 
-    def rows(self) -> DataFrame:
-        return reduce(DataFrame.unionByName, [t.filter(F.col("kind") == k).select(*_SENT.names) for t, k in zip(self.tables, (PAIRS, WORDS, CONTEXTS), strict=True)])
+
+#: Buckets of the model's table that Spark allows.
+MOST_BUCKETS = 100_000
 
 
 def discounts(order: int) -> list[Column]:
@@ -400,19 +403,24 @@ def discounts(order: int) -> list[Column]:
 
 
 def train(held: DataFrame, shards: int) -> Model:
-    """The model of packs of training documents."""
+    """The model of packs of training documents, which go when their n-grams have been counted."""
     pairs = written(_merged(sent_pairs(held, shards), shards, merge_pairs(shards)))
     words = written(_merged(pairs.filter(F.col("kind") == WORDS).select(*_SENT.names), shards, merge_words))
     contexts = written(_merged(sent_contexts(held, shards), shards, merge_contexts))
-    sums = lambda df, kind: df.filter(F.col("kind") == kind).groupBy("lang").agg(*[F.sum(c).alias(c) for c in _MODEL.names[5:]])
-    one = sums(words, WORDS).select("lang", *discounts(1), "total", "types", "c1", "c2")
+    discard(held)
+    every = pairs.filter(F.col("kind") == PAIRS).unionByName(words).unionByName(contexts)
+    table = bucketed(every, max(4, min(shards // 2, MOST_BUCKETS)), "shard")
+    discard(pairs, words, contexts)
+    sums = table.groupBy("lang", "kind").agg(*[F.sum(c).alias(c) for c in _MODEL.names[5:]])
+    of = lambda kind: sums.filter(F.col("kind") == kind)
+    one = of(WORDS).select("lang", *discounts(1), "total", "types", "c1", "c2")
     left = F.col("d11") * F.col("c1") + F.col("d12") * F.col("c2") + F.col("d13") * (F.col("types") - F.col("c1") - F.col("c2"))
     one = one.select("lang", "d11", "d12", "d13", F.col("total").cast("double").alias("total"), (left / F.col("total") / (F.col("types") + 1)).alias("unknown"))
-    two, three = sums(pairs, PAIRS).select("lang", *discounts(2)), sums(contexts, CONTEXTS).select("lang", *discounts(3))
-    return Model(shards, [pairs, words, contexts], written(one.join(two, "lang").join(three, "lang").coalesce(1)))
+    two, three = of(PAIRS).select("lang", *discounts(2)), of(CONTEXTS).select("lang", *discounts(3))
+    return Model(shards, table, written(one.join(two, "lang").join(three, "lang").coalesce(1)))
 
 
-ASK, ANSWER = 3, 4
+ASK = 3
 
 
 def asked(held: DataFrame, shards: int) -> DataFrame:
@@ -493,24 +501,22 @@ class Shard:
 
 
 def answered(model: Model, questions: DataFrame) -> DataFrame:
-    """The shards' answers: pack, shard, data. A shard's model rows come before the questions of their language."""
+    """The shards' answers: pack, shard, data. The model's buckets stay where they are; a shard's questions are joined to them."""
+    schema = pa.schema([("pack", pa.int64()), ("shard", pa.int32()), ("data", pa.binary())])
 
-    def run(batches):
-        now, rows, shard_model = None, {}, None
-        for batch in batches:
-            out = []
-            for shard, lang, kind, pack, data in zip(*(batch[c].to_pylist() for c in _SENT.names), strict=True):
-                if (shard, lang) != now:
-                    now, rows, shard_model = (shard, lang), {}, None
-                if kind != ASK:
-                    rows[kind] = data
-                    continue
-                shard_model = shard_model or Shard(rows)
-                out.append((shard, lang, ANSWER, pack, shard_model.answer(data)))
-            yield from emit(_SENT, out)
+    def run(own: pa.Table, questions: pa.Table) -> pa.Table:
+        held, out = defaultdict(dict), []
+        for r in own.to_pylist():
+            held[r["lang"]][r["kind"]] = r["data"]
+        now, shard = None, None
+        for r in questions.sort_by("lang").to_pylist():
+            if r["lang"] != now:
+                now, shard = r["lang"], Shard(held[r["lang"]])
+            out.append((r["pack"], r["shard"], shard.answer(r["data"])))
+        return pa.table([list(x) for x in zip(*out, strict=True)], schema=schema) if out else schema.empty_table()
 
-    rows = model.rows().unionByName(questions)
-    return rows.repartitionById(model.shards, "shard").sortWithinPartitions("shard", "lang", "kind").mapInArrow(run, SENT).select("pack", "shard", "data")
+    asked_by = questions.select("shard", "lang", "pack", "data").groupBy("shard")
+    return model.table.select("shard", "lang", "kind", "data").groupBy("shard").cogroup(asked_by).applyInArrow(run, "pack long, shard int, data binary")
 
 
 SCORED = "doc_id long, lang string, n_words long, known boolean, total double"
@@ -576,14 +582,14 @@ def text_bytes(docs: DataFrame) -> int:
 
 def learnt(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model | None:
     """The model of all trusted documents outside the held-out fifth; none, if they have no words."""
-    rows = documents(docs, "doc_id", "lang", "text").join(trusted_ids(labels).filter(~held_out()), "doc_id", "left_semi")
-    held = written(packs(rows, p.pack_words))
-    sums = held.agg(F.sum(F.length("words")).alias("n"), F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("words")).first()
-    if not sums["words"]:
+    ids = written(trusted_ids(labels).filter(~held_out()))
+    few = F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids
+    held = written(packs(documents(docs, "doc_id", "lang", "text").join(few, "doc_id", "left_semi"), p.pack_words))
+    discard(ids)
+    words = held.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")).first()["n"]
+    if not words:
         return None
-    model = train(held, max(4, -(-6 * sums["words"] // p.shard_bytes)))
-    discard(held)
-    return model
+    return train(held, max(16, -(-words // p.shard_words)))
 
 
 def perplexities(docs: DataFrame, model: Model, p: Parameters = Parameters()) -> DataFrame:
@@ -626,7 +632,7 @@ def classify(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
         return rows.select("doc_id", "n_words", none.alias("perplexity"), none.alias("limit"), (F.col("n_words") > 0).alias("kept"))
     scored = perplexities(docs, model, p)
     trusted = written(scored.filter("n_words > 0 AND known").join(trusted_ids(labels).filter(held_out()), "doc_id", "left_semi"))
-    discard(*model.tables)
+    discard(model.table)
     moments = ("mean", "a", "b", "top")
     own = written(limits(trusted, p).filter(F.col("n") >= p.min_trusted).drop("n"))
     every = limits(trusted.withColumn("lang", F.lit("")), p)

@@ -76,7 +76,7 @@ def tables(spark):
     return spark.createDataFrame(rows, fixtures.DOCS).repartition(3), labels
 
 
-@pytest.mark.parametrize("p", [perplexity.Parameters(min_trusted=5), perplexity.Parameters(pack_words=400, shard_bytes=3000, rounds=3, round_bytes=20_000, min_trusted=5)])
+@pytest.mark.parametrize("p", [perplexity.Parameters(min_trusted=5), perplexity.Parameters(pack_words=400, shard_words=500, broadcast_ids=0, rounds=3, round_bytes=20_000, min_trusted=5)])
 def test_perplexities_match_dictionaries(spark, tables, p):
     """Also of long texts and repeated rows; and whatever the sizes of packs, shards and rounds."""
     docs, labels = tables
@@ -117,7 +117,7 @@ def test_all_trusted_documents_are_learnt_from(spark):
     labels = spark.createDataFrame([(i, 1, 0) for i in range(900)] + [(901, 1, 0), (901, 0, 0)], "doc_id long, quality int, toxic int")
     wanted = perplexity.trusted_ids(labels).filter(~perplexity.held_out()).count()
     model = perplexity.learnt(docs, labels)
-    words = model.tables[1].agg({"total": "sum"}).first()[0]
+    words = model.table.filter("kind = 1").agg({"total": "sum"}).first()[0]
     vocabulary, grams = {f"w{k}" for k in range(7)} | {Z}, set()
     for r in fixtures.local(docs.join(perplexity.trusted_ids(labels).filter(~perplexity.held_out()), "doc_id", "left_semi")):
         w = [A, *r["text"].split(), Z]
