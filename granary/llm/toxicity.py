@@ -6,8 +6,9 @@
    are numbered; the others, of which no example has any, only count for a text's length: their frequencies are joined by a hash.
 3. Index. Inverted lists: per word the examples that have it, by blocks, with the word's largest weight per block. A query adds these to upper
    bounds, visits the blocks of the highest bounds, then those whose bound reaches the k-th cosine found: the k nearest are exact.
+   Words that many examples have are columns of a matrix instead: a batch's products with it are the exact part of every bound.
 4. Votes. The neighbours' labels are weighted by the square of their cosine. The share and the text's lean (the sum of its words' smoothed log odds
-   among the examples) are calibrated by the observed share of label 1 among training documents; one that is an example itself is left out of
+   among the examples) become a probability by a logistic regression over all training documents; one that is an example itself is left out of
    its own neighbours and odds. The nearest examples are kept as evidence.
 
 Training rows are those whose crc32(doc_id as text) mod 5 is not 0; labels of the others are never read.
@@ -25,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,19 +37,19 @@ from granary.llm.common import Recent, documents, map_batches, written
 
 @dataclass(frozen=True)
 class Parameters:
-    """index_each: examples of either label in the index. lean: edges of the classes of leans that calibration tells apart."""
+    """index_each: examples of either label in the index; the only bound on what is learnt from."""
 
     index_each: int = 2048
     k: int = 15
     block: int = 64
-    bins: int = 8
-    lean: tuple[float, ...] = (-1.0, 1.0, 3.0, 6.0)
 
 
 #: Added to a word's numbers of toxic and of clean examples, so that rare words have odds near 1.
 ODDS_PRIOR = 4.0
 #: Blocks visited before the others are compared with the k-th cosine.
 FIRST_BLOCKS = 4
+#: Classes of votes in which labels are counted for the calibration, which sees each class's means.
+CELLS = 64
 #: Marks hashes of words that no example has; numbers are below.
 OTHER = 1 << 63
 
@@ -102,18 +104,15 @@ def vectors(docs: DataFrame, hashes: np.ndarray) -> DataFrame:
 
     def rows(batch, state: dict) -> dict:
         words, n = state["words"], batch.num_rows
-        known, other = [], []
+        columns = {c: [] for c in ("terms", "counts", "others", "other_counts")}
         for text in batch["text"].to_pylist():
-            hits = sorted(Counter(map(words.__getitem__, text.encode().split())).items()) if text else []
-            at = next((i for i in range(len(hits) - 1, -1, -1) if hits[i][0] < OTHER), -1) + 1
-            known.append(hits[:at])
-            other.append(hits[at:])
+            tokens = text.encode().split() if text else []
+            found, counts = np.unique(np.fromiter(map(words.__getitem__, tokens), np.uint64, len(tokens)), return_counts=True)
+            at = np.searchsorted(found, np.uint64(OTHER))
+            for c, x in (("terms", found[:at].astype(np.int32)), ("counts", counts[:at].astype(np.int32)), ("others", found[at:].view(np.int64)), ("other_counts", counts[at:].astype(np.int32))):
+                columns[c].append(x)
         state["next"] += n
-        return {
-            "row": np.arange(state["next"] - n, state["next"]), "doc_id": batch["doc_id"],
-            "terms": [[t for t, _ in f] for f in known], "counts": [[c for _, c in f] for f in known],
-            "others": [np.array([t for t, _ in f], np.uint64).view(np.int64) for f in other], "other_counts": [[c for _, c in f] for f in other],
-        }
+        return {"row": np.arange(state["next"] - n, state["next"]), "doc_id": batch["doc_id"]} | columns
 
     schema = "row long, doc_id long, terms array<int>, counts array<int>, others array<long>, other_counts array<int>"
     return map_batches(documents(docs, "doc_id", "text"), schema, rows, lambda: {"words": WordTerms(sent.value), "next": TaskContext.get().partitionId() << 36})
@@ -149,9 +148,16 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.repeat(starts - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()), n
 
 
+#: Words in so large a part of the examples have no lists but columns of a matrix, whose products with a batch's texts are exact.
+COMMON = 1 / 32
+
+
 @dataclass
 class Index:
-    """Examples in blocks. A term's entries, one per block, hold the block, the largest weight, and where its list of examples starts."""
+    """Examples in blocks. A term's entries, one per block, hold the block, the largest weight, and where its list of examples starts.
+
+    Terms that many examples have (column: their place, else -1) stand in `dense`, a row an example.
+    """
 
     idf: np.ndarray
     ids: np.ndarray
@@ -164,6 +170,8 @@ class Index:
     weights: np.ndarray
     odds: np.ndarray
     block: int
+    column: np.ndarray
+    dense: np.ndarray
 
     @classmethod
     def of(cls, idf: np.ndarray, ids: list[int], toxic: list[int], terms: list[list[int]], counts: list[list[int]], block: int) -> Index:
@@ -178,20 +186,27 @@ class Index:
         weight = np.concatenate([w[i] for i in order]) if len(ids) else np.empty(0, np.float32)
         by = np.lexsort((place, term))
         term, place, weight = term[by], place[by], weight[by]
+        labels = np.array(toxic, np.float64)[order]
+        odds = np.stack([np.bincount(term, weights=labels[place], minlength=len(idf)), np.bincount(term, weights=1 - labels[place], minlength=len(idf))])
+        many = np.flatnonzero(have >= max(2, COMMON * len(ids)))
+        column = np.full(len(idf), -1)
+        column[many] = np.arange(len(many))
+        dense = np.zeros((len(ids), len(many)))
+        far = column[term] >= 0
+        dense[place[far], column[term[far]]] = weight[far]
+        term, place, weight = term[~far], place[~far], weight[~far]
         n_blocks = -(-len(ids) // block)
         entry = term * max(1, n_blocks) + place // block
         at = np.flatnonzero(np.concatenate([[True], entry[1:] != entry[:-1]])) if len(entry) else np.empty(0, np.int64)
         top = np.maximum.reduceat(weight, at) if len(at) else np.empty(0, np.float32)
-        labels = np.array(toxic, np.float64)[order]
-        odds = np.stack([np.bincount(term, weights=labels[place], minlength=len(idf)), np.bincount(term, weights=1 - labels[place], minlength=len(idf))])
         return cls(
             idf, np.array(ids, np.int64)[order], labels, np.searchsorted(term[at], np.arange(len(idf) + 1)), place[at] // block, top,
-            np.append(at, len(term)), place, weight, odds, block,
+            np.append(at, len(term)), place, weight, odds, block, column, dense,
         )
 
     @staticmethod
-    def weight(idf: np.ndarray, terms: list[int], counts: list[int]) -> np.ndarray:
-        w = (1 + np.log(np.array(counts, np.float64))) * idf[terms]
+    def weight(idf: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(np.asarray(counts, np.float64))) * idf[np.asarray(terms)]
         return (w / math.sqrt(float(w @ w))).astype(np.float32)
 
     def lean(self, terms: list[int], own: int | None = None) -> float:
@@ -205,30 +220,89 @@ class Index:
         share = (seen + ODDS_PRIOR) / (n[:, None] + 2 * ODDS_PRIOR)
         return float(np.log(share[0] / share[1]).sum())
 
-    def nearest(self, terms: list[int], counts: list[int], k: int, own: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0, ties by id; own: the place of an example that doesn't count."""
-        q = self.weight(self.idf, terms, counts)
-        at, n = _ranges(self.entry_at[terms], self.entry_at[np.array(terms) + 1])
+    def products(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
+        """What common words add to the cosines of a batch's texts (rows) with the examples."""
+        q = np.zeros((len(terms), self.dense.shape[1]))
+        for row, (t, w) in enumerate(zip(terms, weights, strict=True)):
+            c = self.column[t]
+            q[row, c[c >= 0]] = w[c >= 0]
+        return q @ self.dense.T
+
+    def nearest(self, terms: np.ndarray, q: np.ndarray, k: int, own: int | None = None, common: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a cosine above 0, ties by id; own: the place of an example that doesn't count.
+
+        q: the terms' weights. common: the text's row of products(). A block's bound is its best such product and the largest weights of the other words.
+        """
+        common = self.products([terms], [q])[0] if common is None else common
+        rare = self.column[terms] < 0
+        terms, q = terms[rare], q[rare]
+        at, n = _ranges(self.entry_at[terms], self.entry_at[terms + 1])
         q, blocks = np.repeat(q, n), self.entry_block[at]
-        bound = np.bincount(blocks, weights=self.entry_top[at] * q, minlength=-(-len(self.ids) // self.block))
+        n_blocks = -(-len(self.ids) // self.block)
+        bound = np.maximum.reduceat(common, np.arange(n_blocks) * self.block) + np.bincount(blocks, weights=self.entry_top[at] * q, minlength=n_blocks)
         open_, places, cosines = bound > 0, np.empty(0, np.int64), np.empty(0)
-        visit = np.zeros(len(bound), bool)
+        visit = np.zeros(n_blocks, bool)
         visit[np.argsort(-bound, kind="stable")[:FIRST_BLOCKS]] = True
         for _ in range(2):
-            here = (visit & open_)[blocks]
+            visit &= open_
+            here = visit[blocks]
             found, m = _ranges(self.list_at[at[here]], self.list_at[at[here] + 1])
             c = np.bincount(self.places[found], weights=self.weights[found] * np.repeat(q[here], m), minlength=len(self.ids))
+            c = np.where(np.repeat(visit, self.block)[: len(c)], c + common, 0)
             if own is not None:
                 c[own] = 0
             hit = np.flatnonzero(c > 0)
             places, cosines = np.concatenate([places, hit]), np.concatenate([cosines, c[hit]])
+            if len(places) > 4 * k:  # all that may be among the k nearest, with those as near as the k-th
+                keep = cosines >= np.partition(cosines, -k)[-k] - 1e-5
+                places, cosines = places[keep], cosines[keep]
             keep = np.lexsort((self.ids[places], -np.round(cosines, 6)))[:k]
             places, cosines = places[keep], cosines[keep]
             open_ &= ~visit
-            visit = bound >= cosines[k - 1] - 1e-5 if len(cosines) >= k else np.ones(len(bound), bool)
+            visit = bound >= cosines[k - 1] - 1e-5 if len(cosines) >= k else np.ones(n_blocks, bool)
         return places, cosines
 
 
+@dataclass(frozen=True)
+class Calibration:
+    """Logistic regression of label 1 on a text's vote and lean; its weights."""
+
+    weights: tuple[float, ...] | None
+    base: float
+
+    @staticmethod
+    def inputs(vote: np.ndarray, lean: np.ndarray) -> np.ndarray:
+        """vote: NaN without neighbours. Leans grow with the length of a text, so their logarithm counts."""
+        none = np.isnan(vote)
+        lean = np.sign(lean) * np.log1p(np.abs(lean))
+        return np.stack([np.ones(len(vote)), none, np.where(none, 0, vote), lean, np.where(none, 0, vote) * lean], axis=1)
+
+    @classmethod
+    def of(cls, vote: np.ndarray, lean: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> Calibration:
+        """From cells: their mean vote and lean, labels 1 and rows."""
+        total, ones = n.sum(), toxic.sum()
+        if not total or not 0 < ones < total:
+            return cls(None, float(ones / total) if total else 0.0)
+        x = cls.inputs(vote, lean)
+        w = np.zeros(x.shape[1])
+        for _ in range(50):  # Newton steps, with a little pull to 0 that keeps separable labels finite
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            step = np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (toxic - n * p) - RIDGE * w)
+            w += step
+            if np.abs(step).max() < 1e-9:
+                break
+        return cls(tuple(w.tolist()), float(ones / total))
+
+    def scores(self, vote: np.ndarray, lean: np.ndarray) -> np.ndarray:
+        if self.weights is None:
+            return np.full(len(vote), self.base)
+        return 1 / (1 + np.exp(-np.clip(self.inputs(vote, lean) @ np.array(self.weights), -30, 30)))
+
+
+#: Pull of the calibration's weights to 0.
+RIDGE = 0.1
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """doc_id, held_out, score, predicted, and evidence (ids and cosines of the nearest examples), one row per row of docs."""
     learn = written(training(labels))
@@ -246,32 +320,37 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
 
     def rows(batch, state: tuple) -> dict:
         ix, own = state
+        arrays = lambda c: np.split(batch[c].flatten().to_numpy(), np.cumsum(pc.list_value_length(batch[c]).to_numpy())[:-1])
+        terms, counts = arrays("terms"), arrays("counts")
+        weights = [ix.weight(ix.idf, t, n).astype(np.float64) if len(t) else np.empty(0) for t, n in zip(terms, counts, strict=True)]
+        common = ix.products(terms, weights)
         votes, leans, ids, cosines, squares = [], [], [], [], []
-        for doc_id, terms, counts in zip(batch["doc_id"].to_pylist(), batch["terms"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-            places, c = ix.nearest(terms, counts, p.k, own.get(doc_id)) if terms else (np.empty(0, np.int64), np.empty(0))
+        for row, (doc_id, t, n, q) in enumerate(zip(batch["doc_id"].to_pylist(), terms, counts, weights, strict=True)):
+            places, c = ix.nearest(t, q, p.k, own.get(doc_id), common[row]) if len(t) else (np.empty(0, np.int64), np.empty(0))
             w = np.square(c)
-            votes.append(int(min(p.bins - 1, p.bins * float(w @ ix.toxic[places] / w.sum()))) if len(places) else -1)
-            leans.append(int(np.searchsorted(p.lean, ix.lean(terms, own.get(doc_id)), "right")) if terms else 0)
+            votes.append(float(w @ ix.toxic[places] / w.sum()) if len(places) else None)
+            leans.append(ix.lean(t, own.get(doc_id)) if len(t) else 0.0)
             ids.append(ix.ids[places[:3]])
             cosines.append(c[:3])
-            squares.append(float(np.square((1 + np.log(counts)) * ix.idf[terms]).sum()) if terms else 0.0)
+            squares.append(float(np.square((1 + np.log(n)) * ix.idf[t]).sum()) if len(t) else 0.0)
         return {"row": batch["row"], "doc_id": batch["doc_id"], "vote": votes, "lean": leans, "ids": ids, "cosines": cosines, "own": squares}
 
-    schema = "row long, doc_id long, vote int, lean int, ids array<long>, cosines array<double>, own double"
+    schema = "row long, doc_id long, vote double, lean double, ids array<long>, cosines array<double>, own double"
     setup = lambda: (sent.value, {d: i for i, d in enumerate(sent.value.ids.tolist())})
     voted = written(map_batches(found.select("row", "doc_id", "terms", "counts"), schema, rows, setup))
-    cells = voted.join(learn, "doc_id").groupBy("vote", "lean").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-    # (bins + 1) * classes of leans at most; a cell is drawn to the share of its vote, which stands for cells that training hasn't met
-    table = {(r.vote, r.lean): (r.t, r.n) for r in cells.collect()}
-    total = [sum(x) for x in zip(*table.values(), strict=True)] or [0, 1]
-
-    def calibrated(vote: int, lean: int) -> float:
-        prior = (vote + 0.5) / p.bins if vote >= 0 else total[0] / max(1, total[1])
-        t, m = table.get((vote, lean), (0, 0))
-        return (t + 4 * prior) / (m + 4)
-
-    scores = docs.sparkSession.createDataFrame([(v, x, calibrated(v, x)) for v in range(-1, p.bins) for x in range(len(p.lean) + 1)], "v int, x int, score double")
-    out = voted.join(other_squares(found, n), "row", "left").join(F.broadcast(scores), (F.col("vote") == F.col("v")) & (F.col("lean") == F.col("x")))
+    # the calibration meets all training documents, in cells: CELLS votes, or none, and 2 * CELLS + 1 leans at most
+    near = F.floor(F.least(F.lit(CELLS - 1), F.col("vote") * CELLS))
+    side = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(F.signum("lean") * F.log1p(F.abs("lean")) * 8)))
+    cells = voted.join(learn, "doc_id").groupBy(near.alias("near"), side.alias("side"))
+    cells = cells.agg(F.avg("vote").alias("vote"), F.avg("lean").alias("lean"), F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy("near", "side").toArrow()
+    column = lambda c: cells[c].to_numpy().astype(np.float64)
+    fit = Calibration.of(column("vote"), column("lean"), column("toxic"), column("n"))
+
+    def scored(batch) -> dict:
+        return {c: batch[c] for c in ("row", "doc_id", "ids", "cosines", "own")} | {"score": fit.scores(batch["vote"].to_numpy(zero_copy_only=False).astype(np.float64), batch["lean"].to_numpy())}
+
+    out = map_batches(voted, "row long, doc_id long, ids array<long>, cosines array<double>, own double, score double", scored)
+    out = out.join(other_squares(found, n), "row", "left")
     # the cosines so far are over the examples' words; the others make the text's vector longer
     scale = F.sqrt(F.col("own") / (F.col("own") + F.coalesce("rest", F.lit(0.0))))
     evidence = F.array_join(F.zip_with("ids", "cosines", lambda i, c: F.concat(i.cast("string"), F.lit(":"), F.format_string("%.4f", c * scale))), ",")

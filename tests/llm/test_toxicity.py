@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from granary.llm import toxicity
 from tests.llm import fixtures
@@ -43,12 +44,15 @@ def test_held_out_labels_are_not_read(spark):
     assert key(labels) == key(flipped)
 
 
-def test_neighbours_are_exact():
+@pytest.mark.parametrize("common", [0.0, 0.09, 2.0])
+def test_neighbours_are_exact(monkeypatch, common):
     rng = np.random.default_rng(6)
     idf = rng.uniform(1, 4, 40)
     terms = [sorted(rng.choice(40, rng.integers(1, 6), replace=False).tolist()) for _ in range(300)]
     counts = [rng.integers(1, 5, len(t)).tolist() for t in terms]
+    monkeypatch.setattr(toxicity, "COMMON", common)
     ix = toxicity.Index.of(idf, list(range(300)), [0] * 300, terms, counts, 16)
+    assert (ix.column >= 0).sum() == (0 if common > 1 else (np.bincount(np.concatenate(terms), minlength=40) >= max(2, common * 300)).sum())
     for t, n in zip(terms[:60], counts[:60]):
         q = np.zeros(40)
         q[t] = ix.weight(idf, t, n)
@@ -56,7 +60,7 @@ def test_neighbours_are_exact():
         for i, (a, b) in enumerate(zip(terms, counts)):
             dense[i, a] = ix.weight(idf, a, b)
         want = np.sort(dense @ q)[::-1][:15]
-        places, cosines = ix.nearest(t, n, 15)
+        places, cosines = ix.nearest(np.array(t), ix.weight(idf, t, n).astype(float), 15)
         assert np.allclose(cosines, want[want > 1e-9][: len(cosines)], atol=1e-5)
         assert len(cosines) == min(15, int((dense @ q > 1e-9).sum()))
 
