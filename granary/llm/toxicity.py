@@ -7,7 +7,7 @@
 3. Index. Inverted lists: per word the examples that have it, by blocks, with the word's largest weight per block. A query adds these to upper
    bounds, visits the blocks of the highest bounds, then those whose bound reaches the k-th cosine found: the k nearest are exact.
    Words that many examples have are columns of a matrix instead: a batch's products with it are the exact part of every bound.
-4. Votes. The neighbours' labels are weighted by the square of their cosine. The share and the text's lean (the sum of its words' smoothed log odds
+4. Votes. The neighbours' labels are weighted by the square of their cosine. The share and the text's lean (the largest of its words' smoothed log odds
    among the examples) become a probability by a logistic regression over all training documents; one that is an example itself is left out of
    its own neighbours and odds. The nearest examples are kept as evidence.
 
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import Recent, documents, map_batches, written
+from granary.llm.common import Recent, discard, documents, map_batches, written
 
 
 @dataclass(frozen=True)
@@ -209,8 +209,8 @@ class Index:
         w = (1 + np.log(np.asarray(counts, np.float64))) * idf[np.asarray(terms)]
         return (w / math.sqrt(float(w @ w))).astype(np.float32)
 
-    def lean(self, terms: list[int], own: int | None = None) -> float:
-        """The sum of the terms' log odds of standing in a toxic example; own: the place of an example that doesn't count."""
+    def lean(self, terms: np.ndarray, own: int | None = None) -> float:
+        """The largest of the terms' log odds of standing in a toxic example; own: the place of an example that doesn't count."""
         n = np.array([self.toxic.sum(), len(self.toxic) - self.toxic.sum()])
         seen = self.odds[:, terms]
         if own is not None:
@@ -218,7 +218,7 @@ class Index:
             n[label] -= 1
             seen[label] -= 1
         share = (seen + ODDS_PRIOR) / (n[:, None] + 2 * ODDS_PRIOR)
-        return float(np.log(share[0] / share[1]).sum())
+        return float(np.log(share[0] / share[1]).max())
 
     def products(self, terms: list[np.ndarray], weights: list[np.ndarray]) -> np.ndarray:
         """What common words add to the cosines of a batch's texts (rows) with the examples."""
@@ -272,10 +272,10 @@ class Calibration:
 
     @staticmethod
     def inputs(vote: np.ndarray, lean: np.ndarray) -> np.ndarray:
-        """vote: NaN without neighbours. Leans grow with the length of a text, so their logarithm counts."""
+        """vote: NaN without neighbours."""
         none = np.isnan(vote)
-        lean = np.sign(lean) * np.log1p(np.abs(lean))
-        return np.stack([np.ones(len(vote)), none, np.where(none, 0, vote), lean, np.where(none, 0, vote) * lean], axis=1)
+        vote = np.where(none, 0, vote)
+        return np.stack([np.ones(len(vote)), none, vote, lean, lean * lean, vote * lean], axis=1)
 
     @classmethod
     def of(cls, vote: np.ndarray, lean: np.ndarray, toxic: np.ndarray, n: np.ndarray) -> Calibration:
@@ -317,6 +317,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
     idf = np.log((1 + n) / (1 + frequencies(found, len(every)))) + 1
     index = Index.of(idf, examples["doc_id"], examples["toxic"], [np.searchsorted(every, h).tolist() for h in hashes], examples["counts"], p.block)
     sent = docs.sparkSession.sparkContext.broadcast(index)
+    rest = written(other_squares(found, n))
 
     def rows(batch, state: tuple) -> dict:
         ix, own = state
@@ -338,9 +339,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
     schema = "row long, doc_id long, vote double, lean double, ids array<long>, cosines array<double>, own double"
     setup = lambda: (sent.value, {d: i for i, d in enumerate(sent.value.ids.tolist())})
     voted = written(map_batches(found.select("row", "doc_id", "terms", "counts"), schema, rows, setup))
+    discard(found)
     # the calibration meets all training documents, in cells: CELLS votes, or none, and 2 * CELLS + 1 leans at most
     near = F.floor(F.least(F.lit(CELLS - 1), F.col("vote") * CELLS))
-    side = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(F.signum("lean") * F.log1p(F.abs("lean")) * 8)))
+    side = F.greatest(F.lit(-CELLS), F.least(F.lit(CELLS), F.floor(F.col("lean") * 8)))
     cells = voted.join(learn, "doc_id").groupBy(near.alias("near"), side.alias("side"))
     cells = cells.agg(F.avg("vote").alias("vote"), F.avg("lean").alias("lean"), F.sum("toxic").alias("toxic"), F.count("*").alias("n")).orderBy("near", "side").toArrow()
     column = lambda c: cells[c].to_numpy().astype(np.float64)
@@ -350,7 +352,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -
         return {c: batch[c] for c in ("row", "doc_id", "ids", "cosines", "own")} | {"score": fit.scores(batch["vote"].to_numpy(zero_copy_only=False).astype(np.float64), batch["lean"].to_numpy())}
 
     out = map_batches(voted, "row long, doc_id long, ids array<long>, cosines array<double>, own double, score double", scored)
-    out = out.join(other_squares(found, n), "row", "left")
+    out = out.join(rest, "row", "left")
     # the cosines so far are over the examples' words; the others make the text's vector longer
     scale = F.sqrt(F.col("own") / (F.col("own") + F.coalesce("rest", F.lit(0.0))))
     evidence = F.array_join(F.zip_with("ids", "cosines", lambda i, c: F.concat(i.cast("string"), F.lit(":"), F.format_string("%.4f", c * scale))), ",")
