@@ -59,6 +59,33 @@ def test_false_rejections_stay_below_the_risk(spark):
     assert sum(bad) / len(bad) < 0.6
 
 
+def stratum_rows(spark, sizes, marked):
+    """Texts of 40 words, so many a language; the share `marked` of them with a mark at half of the words."""
+    rows = [(lang, i, i < marked.get(lang, 0) * n) for lang, n in sizes.items() for i in range(n)]
+    made = [(k, " ".join(f"{lang}{i}x{j}" + "#" * (odd and j % 2) for j in range(40)), lang) for k, (lang, i, odd) in enumerate(rows)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string").repartition(3)
+    return docs, spark.createDataFrame([(k, 1) for k in range(len(made))], "doc_id long, quality int")
+
+
+def test_strata_have_live_steps(spark):
+    """Languages with texts enough have their own step, the others one together; one whose good texts look bad stops early; none is off."""
+    docs, labels = stratum_rows(spark, {"en": 300, "de": 150, "es": 120, "fr": 60, "it": 50}, {"de": 0.2})
+    got = {r["stratum"]: (r["n_good"], r["step"]) for r in fixtures.local(quality.steps(quality.features(docs), labels))}
+    assert got == {"en": (300, 8), "de": (150, 6), "es": (120, 8), None: (110, 8)}
+    assert quality.least_texts(3, quality.Parameters()) == 86
+    # too few of the others: all languages together
+    docs, labels = stratum_rows(spark, {"en": 300, "fr": 20}, {})
+    assert {r["stratum"]: (r["n_good"], r["step"]) for r in fixtures.local(quality.steps(quality.features(docs), labels))} == {"en": (300, 8), None: (320, 8)}
+    docs, labels = stratum_rows(spark, {"en": 40}, {})
+    assert {r["stratum"]: (r["n_good"], r["step"]) for r in fixtures.local(quality.steps(quality.features(docs), labels))} == {None: (40, 0)}
+
+
+def test_conflicting_labels_are_not_good(spark):
+    docs, labels = stratum_rows(spark, {"en": 100}, {})
+    both = labels.unionByName(labels.filter("doc_id < 40").selectExpr("doc_id", "0 AS quality")).unionByName(labels)
+    assert [r["n_good"] for r in fixtures.local(quality.steps(quality.features(docs), both))] == [60]
+
+
 def test_without_labels_and_empty(spark):
     docs = fixtures.frame(spark)
     none = labelled(spark, docs).limit(0)
