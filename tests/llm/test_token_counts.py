@@ -1,4 +1,6 @@
+import math
 import random
+import tracemalloc
 
 from tokenizers import Tokenizer
 from tokenizers.models import Unigram
@@ -53,3 +55,25 @@ def test_unknown_characters_count_their_bytes(spark):
 
 def test_empty(spark):
     assert token_counts.token_counts(fixtures.empty(spark), PATH).count() == 0
+
+
+def test_long_words_need_little_memory():
+    """Words of a million characters, known and unknown ones, against the unigram tokenizer on a shorter one and in memory that doesn't grow."""
+    vocabulary = token_counts.read_vocabulary(PATH)
+    counter = token_counts.Counter.of(vocabulary, token_counts.byte_pieces(PATH))
+    tokenizer = Tokenizer(Unigram([("<unk>", 0.0), *vocabulary, *[(f"<0x{b:02X}>", -1e9) for b in range(256)]], 0, True))
+    for unit in ("unbelievable", "ᚠ", "xᚢy"):
+        short = "▁" + unit * 300
+        assert counter.count(short) == len(tokenizer.encode(short).ids)
+        long = "▁" + unit * (1_000_000 // len(unit))
+        tracemalloc.start()
+        counter.count(long)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 6_000_000, unit  # the automaton has the text in four bytes a character
+
+
+def test_scores_follow_the_order_of_pieces():
+    vocabulary = token_counts.read_vocabulary(PATH)
+    scores = [s for _, s in vocabulary]
+    assert scores == sorted(scores, reverse=True) and math.isclose(math.fsum(map(math.exp, scores)), 1)
