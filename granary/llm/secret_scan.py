@@ -41,8 +41,7 @@ ANCHORED = {
     "access": re.compile(r"AKIA[A-Z0-9]+"),
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
-    "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]{5,})\.(eyJ[A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]{20,})"),
-    "pem": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s+((?:[ \t]*[A-Za-z0-9-]+:[^\n]*\n)*+)([A-Za-z0-9+/=\s]+)-----END \1-----"),
+    "pem": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s++((?:[ \t]*[A-Za-z0-9-]+:[^\n]*\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----"),
 }
 HEX_LENGTH = 24
 _NO_HEX = ~np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
@@ -62,13 +61,30 @@ def _crc_fits(m: re.Match) -> bool:
     return crc_base62(m[1][:30]) == m[1][30:]
 
 
-def _json_header(m: re.Match) -> bool:
+def _json_header(text: str, start: int, end: int) -> bool:
+    """Whether that part of a text is a JSON object that names an algorithm. Longer and longer beginnings are looked at, so what isn't JSON ends soon."""
+    size = 64
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, TypeError):
+        while start + size < end:
+            if not _may_begin_json(base64.urlsafe_b64decode(text[start : start + size]).decode(errors="ignore")):
+                return False
+            size *= 8
+        head = text[start:end]
+        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+        return isinstance(found, dict) and "alg" in found
+    except (ValueError, TypeError, RecursionError):
         return False
 
 
+def _may_begin_json(start: str) -> bool:
+    """Whether more characters could make JSON of this: an error before the last few characters says no."""
+    try:
+        json.loads(start)
+    except json.JSONDecodeError as e:
+        return "Unterminated" in e.msg or e.pos >= len(start) - 12
+    return False  # whole already, but something follows
+
+
 def _der_fits(data: bytes) -> bool:
     """One DER sequence of just its stated length."""
     if len(data) < 2 or data[0] != 0x30:
@@ -116,7 +132,6 @@ VALID = {
     "access": lambda m: len(m[0]) >= 20,
     "github": _crc_fits,
     "npm": _crc_fits,
-    "jwt": _json_header,
     "pem": _key_fits,
 }
 
@@ -140,19 +155,50 @@ def hex_runs(data: bytes) -> list[tuple[int, int]]:
     return [(int(starts[i]), int(ends[i])) for i in long]
 
 
+_PART = re.compile(r"[A-Za-z0-9_-]*+")
+
+
+class WebTokens:
+    """Web tokens: eyJ and five more characters, a dot, eyJ and two more, a dot, and 20. Where the parts end is found once for all hits in a stretch."""
+
+    def __init__(self, text: str):
+        self.text, self.first, self.last = text, -1, 0
+
+    def end(self, start: int) -> int:
+        """Where the token that starts here ends; 0, if there is none."""
+        text = self.text
+        if start >= self.first:
+            self.first, self.last = _PART.match(text, start).end(), 0
+            if text[self.first : self.first + 4] == ".eyJ":
+                second = _PART.match(text, self.first + 1).end()
+                third = _PART.match(text, second + 1).end() if text[second : second + 1] == "." else 0
+                if second - self.first > 5 and third - second > 20:
+                    self.last = third
+        return self.last if self.last and self.first - start >= 8 and _json_header(text, start, self.first) else 0
+
+
 def spans(text: str | None, words: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all secrets by start, then kind in the order of KINDS."""
     if not text:
         return []
     data = text.encode()
     out = []
+    at = start = 0  # the same place in bytes and in code points
     for a, b in hex_runs(data):
-        start = a if len(data) == len(text) else len(data[:a].decode())
+        start += a - at if len(data) == len(text) else len(data[at:a].decode())
+        at = a
         out.append((start, start + b - a, "hex"))
     hits = sorted((end - n + 1, kind) for end, (kind, n) in words.iter(data.lower().decode()))
-    used = dict.fromkeys(KINDS, 0)
+    used, tokens = dict.fromkeys(KINDS, 0), WebTokens(text)
     for start, kind in hits:
-        if start < used[kind] or not (m := ANCHORED[kind].match(text, start)):
+        if start < used[kind]:
+            continue
+        if kind == "jwt":
+            if end := tokens.end(start):
+                out.append((start, end, kind))
+                used[kind] = end
+            continue
+        if not (m := ANCHORED[kind].match(text, start)):
             continue
         if VALID[kind](m):
             out.append((start, m.end(), kind))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -84,3 +85,19 @@ def test_rows(spark, extra):
     want = ["", "", "x " * 200_000 + "é [secret]", "é [secret]", "é [secret]"]
     assert sorted(x.text or "" for x in clean.collect()) == sorted(want)
     assert s.scan(docs.limit(0)).count() == 0 and s.redacted(docs.limit(0)).count() == 0
+
+
+def test_long_texts_take_time_in_proportion():
+    """Beginnings that repeat, long gaps and many runs after other characters: a second for a million characters each."""
+    words = s.automaton()
+    head = base64.urlsafe_b64encode(b'{"alg":"none","x":"' + b"y" * 5000 + b'"}').decode().rstrip("=")
+    whole = f"{head}.eyJzdWIiOiIxIn0." + "a" * 22
+    texts = {
+        "eyJ" * 350_000: [], "eyJ" * 350_000 + ".eyJzdWIiOiIxIn0." + "a" * 22: [], "-----BEGIN PRIVATE KEY-----" + " " * 1_000_000 + "!": [],
+        "eyJ " * 100_000 + whole: [(400_000, 400_000 + len(whole), "jwt")],
+        "é" + ("g" + "0123456789abcdef" * 2) * 30_000: [(33 * i + 2, 33 * i + 34, "hex") for i in range(30_000)],
+    }
+    for text, want in texts.items():
+        began = time.process_time()
+        assert s.spans(text, words) == want
+        assert time.process_time() - began < 8
