@@ -10,9 +10,9 @@ Escaping puts a backslash before every backslash and inside every control string
 Turns are formatted where they are. For digests a conversation's turns are sorted by Spark and read as a stream, so a
 conversation of any length needs memory for a batch only; one digest is by nature computed in one task.
 
-Defined results: a null text or role is empty. Turns with equal numbers stand by role, then text; null turns come first; repeated rows are
-repeated turns. Null conversation ids form one conversation. Content that isn't a JSON list of objects is an error naming the turn's start.
-Other columns are ignored.
+Defined results: a null text or role is empty. Turns with equal numbers stand by role, then formatted string; null turns come first; repeated rows are
+repeated turns. Null conversation ids form one conversation. Content, in a column
+that the caller names, that isn't a JSON list of objects is an error naming the turn's start. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -122,9 +122,9 @@ def read_turn(formatted: str) -> tuple[str, str]:
     return unescape(m[1]), unescape(m[2])
 
 
-def format_turns(conversations: DataFrame, trained_roles: tuple[str, ...] = ("assistant",), costs: Costs = Costs()) -> DataFrame:
-    """One formatted turn per row, with its part under the loss mask (null: none) and its attachments."""
-    content = F.col("content").cast("string") if "content" in conversations.columns else F.lit(None).cast("string")
+def format_turns(conversations: DataFrame, trained_roles: tuple[str, ...] = ("assistant",), costs: Costs = Costs(), parts: str | None = None) -> DataFrame:
+    """One formatted turn per row, with its part under the loss mask (null: none) and its attachments. parts: the column of typed parts, if any."""
+    content = (F.col(parts) if parts else F.lit(None)).cast("string")
     rows = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"), content.alias("content"))
 
     def run(batch) -> dict:
@@ -147,7 +147,8 @@ def digests(turns: DataFrame) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = T._parse_datatype_string(DIGESTS)
-    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("formatted")]
+    # the role is what the head says, up to its line's end
+    order = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.regexp_extract("formatted", r"^((?:[^\n\\]|\\[\s\S])*)\n", 1), F.col("formatted")]
     rows = turns.select("conv_id", "turn", "formatted", "loss_start", "loss_end", F.size("attachments").cast("bigint").alias("n"), "expanded_tokens")
     streams = rows.repartition("conv_id").sortWithinPartitions(*order).drop("turn")
 

@@ -54,3 +54,16 @@ def test_parts_become_placeholders(spark):
 
 def test_empty(spark):
     assert chat_format.digests(chat_format.format_turns(spark.createDataFrame([], SCHEMA))).count() == 0
+
+
+def test_ties_and_columns_named_content(spark):
+    """Equal turns stand by role, then formatted string; a column named content counts only if the caller names it."""
+    rows = [(1, 0, "user", "b", "no list"), (1, 0, "user", "a", None), (1, 0, "us", "z", None), (1, 0, "user", "a", None), (2, 0, "user", None, '[{"type": "image", "ref": "r"}]')]
+    given = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, content string").repartition(3)
+    got = {r["conv_id"]: r for r in fixtures.local(chat_format.digests(chat_format.format_turns(given)))}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"us\nz\nuser\na\nuser\na\nuser\nb\n").hexdigest()
+    assert got[2]["n_attachments"] == 0
+    parts = fixtures.local(chat_format.digests(chat_format.format_turns(given.filter("conv_id = 2"), parts="content")))
+    assert parts[0]["n_attachments"] == 1
+    with pytest.raises(Exception, match="Expecting value"):
+        chat_format.format_turns(given, parts="content").collect()
