@@ -1,38 +1,39 @@
 """Operator 2: exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector. It is cut into segments; a block of codes has one table per segment, from the segment's value to the
-codes that have it. A query probes the tables in rounds: in round r = segments * a + b the table of segment b is probed at
-distance a. By the pigeonhole principle all codes within Hamming distance r have then been met, so the search ends as soon as
-the k-th verified distance is at most r; codes at equal distance are all known then, and the smaller id wins.
-
-Equal codes are one entry with their k smallest ids, which is all that a top-k can need, so a code that a third of all rows share costs
-as much as any. Codes and queries are dealt into blocks of bounded size; each pair of blocks is a task, and a query's
-block results are merged by distance and id.
-
-Defined results: null vectors and vectors of another length have no code: they are never found and find nothing. A null or NaN value
+A code is the signs of a vector, cut into segments about as long as the logarithm of the number of codes. One table, in buckets by cell, has a row for
+each segment of each code; a cell is a segment and its value. The search goes by rounds: in round a each open query asks for the cells whose value differs
+from its own in just a bits, and codes met there for the first time are verified: met first means that no segment is nearer than a, and none
+before this one as near, which the two codes alone tell. By the pigeonhole principle all codes within Hamming distance
+segments * (a + 1) - 1 have then been met, so a query is done when its k-th verified distance is within this radius; codes at equal
+distance are all known then, and the smaller id wins. Only the open queries go on to the next round.
+
+Rounds are joins by cell; verification counts bits in the JVM; each query keeps its k best rows, which Spark limits before it shuffles. Equal codes are one
+entry with their k smallest ids, which is all that a top-k can need, so a code that a third of all rows share costs as much as any.
+
+Defined results: null vectors have no code: they are never found and find nothing; a vector of another length is an error, since its signs can't be
+compared, unless `skip_other_lengths`: then it is like a null. A null or NaN value
 has the bit 0. A query finds itself, too, if it is among the rows. Fewer than k rows give fewer results; repeated rows are found
 once each. Null ids are never queries and come first among ties. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import map_batches, written
+from granary.llm.common import bucketed, discard, map_batches, written
 
 BITS = 64
-CODE_BLOCK = 65_536
-QUERY_BLOCK = 262_144
+#: Rows of a bucket of the table of cells.
+BUCKET_ROWS = 2_000_000
 
 
-def codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
+def codes(vectors: DataFrame, bits: int = BITS, skip_other_lengths: bool = False) -> DataFrame:
     """vec_id and code (the signs of the embedding, as a long) of the rows that have one."""
 
     def rows(batch) -> dict:
@@ -45,116 +46,87 @@ def codes(vectors: DataFrame, bits: int = BITS) -> DataFrame:
     if not 0 < bits <= 64:
         raise ValueError("codes have 1 to 64 bits")
     found = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
-    return map_batches(found.filter(F.size("embedding") == bits), "vec_id long, code long", rows)
+    fits = F.size("embedding") == bits
+    if not skip_other_lengths:
+        fits = F.when(fits, True).otherwise(F.raise_error(F.concat(F.lit(f"an embedding hasn't {bits} values: "), F.coalesce(F.col("vec_id").cast("string"), F.lit("null")))).cast("boolean"))
+    return map_batches(found.filter(F.col("embedding").isNotNull()).filter(fits), "vec_id long, code long", rows)
 
 
-class SegmentTables:
-    """A block's codes by the value of each segment."""
+class Segments:
+    """How codes are cut: `parts` segments of `width` bits, the last maybe shorter."""
 
-    def __init__(self, found: np.ndarray, bits: int = BITS):
-        self.codes = found
-        self.width = max(4, min(16, int(np.log2(max(2, len(found))))))
+    def __init__(self, n_codes: int, bits: int = BITS):
+        self.parts = max(1, round(bits / max(4, min(20, (max(2, n_codes)).bit_length() - 1))))
+        self.width = -(-bits // self.parts)
         self.parts = -(-bits // self.width)
-        self.mask = np.uint64((1 << self.width) - 1)
-        self.order, self.starts = [], []
-        for b in range(self.parts):
-            value = self.segment(found, b)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.starts.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << self.width))]))
-        self.flips = [np.array([sum(1 << i for i in c) for c in combinations(range(self.width), a)], np.int64) for a in range(self.width + 1)]
-
-    def segment(self, x, b: int):
-        return ((x >> np.uint64(b * self.width)) & self.mask).astype(np.int64)
-
-    def probe(self, query: np.uint64, b: int, a: int) -> np.ndarray:
-        """Codes whose segment b differs from the query's in just a bits."""
-        keys = int(self.segment(query, b)) ^ self.flips[a]
-        lo, hi = self.starts[b][keys], self.starts[b][keys + 1]
-        n = hi - lo
-        total = int(n.sum())
-        if not total:
-            return np.empty(0, np.int64)
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(total)
-        return self.order[b][at]
-
-    def search(self, query: np.uint64, copies: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Entries and distances of all codes up to the distance at which k rows are reached (all codes, if there are fewer)."""
-        seen = np.zeros(len(self.codes), bool)
-        found, distances = [], []
-        by_distance = np.zeros(self.parts * self.width + 1, np.int64)
-        r = 0
-        for r in range(self.parts * (self.width + 1)):
-            a, b = divmod(r, self.parts)
-            new = self.probe(query, b, a)
-            new = new[~seen[new]]
-            if len(new):
-                seen[new] = True
-                d = np.bitwise_count(self.codes[new] ^ query).astype(np.int64)
-                found.append(new)
-                distances.append(d)
-                by_distance += np.bincount(d, weights=np.minimum(copies[new], k), minlength=len(by_distance)).astype(np.int64)
-            if by_distance[: r + 1].sum() >= k:
-                break
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        i, d = np.concatenate(found), np.concatenate(distances)
-        return i[d <= r], d[d <= r]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, code_block: int = CODE_BLOCK) -> DataFrame:
-    """query_id, rank (from 1), neighbor_id and distance. queries: rows like vectors."""
-    every = codes(vectors, bits)
+        self.widths = [min(self.width, bits - b * self.width) for b in range(self.parts)]
+
+    def value(self, code: Column, b: int) -> Column:
+        return F.shiftrightunsigned(code, b * self.width).bitwiseAND(F.lit((1 << self.widths[b]) - 1))
+
+    def cells(self, code: str) -> Column:
+        """The cell of each segment of a code."""
+        return F.array(*[self.value(F.col(code), b) + F.lit(b << self.width) for b in range(self.parts)])
+
+    def asked(self, code: str, a: int) -> Column:
+        """Cells at distance a of each segment."""
+
+        def flip(own: Column, b: int):
+            return lambda x: own.bitwiseXOR(x) + F.lit(b << self.width)
+
+        asked = []
+        for b, width in enumerate(self.widths):
+            flips = ",".join(str(sum(1 << i for i in c)) for c in combinations(range(width), a))
+            if flips:
+                asked.append(F.transform(F.split(F.lit(flips), ",").cast("array<bigint>"), flip(self.value(F.col(code), b), b)))
+        return F.flatten(F.array(*asked))
+
+    def met_first(self, a: int, cell: str, x: str, y: str) -> Column:
+        """Whether the codes x and y, which meet in a cell at distance a, have no nearer segment, and none before this one as near."""
+        b = F.shiftrightunsigned(cell, self.width)
+        apart = F.col(x).bitwiseXOR(F.col(y))
+        tests = [F.bit_count(self.value(apart, i)) >= a + F.when(b > i, 1).otherwise(0) for i in range(self.parts)]
+        return reduce(Column.__and__, tests)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, skip_other_lengths: bool = False, with_search: bool = False) -> DataFrame:
+    """query_id, rank (from 1), neighbor_id and distance. queries: rows like vectors.
+
+    On request also radius (the distance up to which the query has met all codes) and verified (how many codes were compared with it).
+    """
+    every = codes(vectors, bits, skip_other_lengths)
     by_code = W.partitionBy("code").orderBy(F.col("vec_id").asc_nulls_first())
     first = every.withColumn("place", F.row_number().over(by_code)).filter(F.col("place") <= k)
     entries = written(first.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id")))).alias("ids")))
-    asked = written(codes(queries, bits).filter(F.col("vec_id").isNotNull()))
-    targets = asked.select(F.col("code").alias("query")).distinct()
-    n_blocks, q_blocks = max(16, -(-entries.count() // code_block)), max(1, -(-targets.count() // QUERY_BLOCK))
-    deal = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    none = F.lit(None)
-    tasks = entries.select(F.pmod(F.xxhash64("code"), F.lit(n_blocks)).cast("int").alias("block"), deal(q_blocks).alias("group"), "code", F.col("ids.vec_id").alias("ids"), none.cast("long").alias("query"))
-    tasks = tasks.unionByName(targets.select(deal(n_blocks).alias("block"), F.pmod(F.xxhash64("query"), F.lit(q_blocks)).cast("int").alias("group"), none.cast("long").alias("code"), none.cast("array<bigint>").alias("ids"), "query"))
-    schema = pa.schema([("query", pa.int64()), ("distance", pa.int32()), ("neighbor_id", pa.int64())])
-
-    def solve(held: list, wanted: list):
-        if not held or not wanted:
-            return
-        tables = SegmentTables(np.array([c for c, _ in held], np.int64).view(np.uint64), bits)
-        copies = np.array([len(i) for _, i in held])
-        out = defaultdict(list)
-        for q in wanted:
-            at, d = tables.search(np.array([q], np.int64).view(np.uint64)[0], copies, k)
-            best = sorted(((int(x), i) for e, x in zip(at, d, strict=True) for i in held[e][1]), key=lambda y: (y[0], y[1] is not None, y[1] or 0))[:k]
-            for x, i in best:
-                out["query"].append(q)
-                out["distance"].append(x)
-                out["neighbor_id"].append(i)
-            if len(out["query"]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-                out.clear()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in schema], schema=schema)
-
-    def run(batches):
-        now, held, wanted = None, [], []
-        for batch in batches:
-            for block, group, code, ids, query in zip(*(batch[c].to_pylist() for c in ("block", "group", "code", "ids", "query")), strict=True):
-                if (block, group) != now:
-                    yield from solve(held, wanted)
-                    now, held, wanted = (block, group), [], []
-                if ids is None:
-                    wanted.append(query)
-                else:
-                    held.append((code, ids))
-        yield from solve(held, wanted)
-
-    dealt = tasks.repartition(n_blocks * q_blocks, "block", "group").sortWithinPartitions("block", "group")
-    local = dealt.mapInArrow(run, "query long, distance int, neighbor_id long")
-    rank = F.row_number().over(W.partitionBy("query").orderBy("distance", F.col("neighbor_id").asc_nulls_first()))
-    best = local.withColumn("rank", rank).filter(F.col("rank") <= k)
-    best = written(best.groupBy("query").agg(F.collect_list(F.struct("rank", "neighbor_id", "distance")).alias("best")))
-    out = asked.join(best, asked["code"] == best["query"]).select(F.col("vec_id").alias("query_id"), F.explode("best").alias("b"))
-    return out.select("query_id", "b.rank", "b.neighbor_id", "b.distance")
+    n = entries.count()
+    cut = Segments(n, bits)
+    table = bucketed(entries.select(F.explode(cut.cells("code")).alias("cell"), "code", F.col("ids.vec_id").alias("ids")), max(1, -(-n * cut.parts // BUCKET_ROWS)), "cell")
+    discard(entries)
+    asked = written(codes(queries, bits, skip_other_lengths).filter(F.col("vec_id").isNotNull()))
+    open_ = written(asked.select(F.col("code").alias("query"), F.lit(0).cast("long").alias("verified"), F.lit(None).cast("array<struct<distance:int,id:bigint>>").alias("best")).distinct())
+    ended, width = [], max(cut.widths)
+    order = ["distance", F.col("id").asc_nulls_first()]
+    for a in range(width + 1):
+        probes = open_.select("query", F.explode(cut.asked("query", a)).alias("cell"))
+        met = probes.join(table, "cell").filter(cut.met_first(a, "cell", "query", "code"))
+        met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "ids")
+        counts = met.groupBy("query").agg(F.count("*").alias("more"))
+        rows = met.select("query", "distance", F.explode("ids").alias("id")).unionByName(open_.select("query", F.inline("best")))
+        best = rows.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(*order))).filter(F.col("place") <= k)
+        best = best.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "distance", "id"))).alias("x"))
+        best = best.select("query", F.transform("x", lambda r: F.struct(r["distance"].alias("distance"), r["id"].alias("id"))).alias("best"))
+        state = open_.select("query", "verified").join(best, "query", "left").join(counts, "query", "left")
+        state = state.select("query", (F.col("verified") + F.coalesce("more", F.lit(0))).alias("verified"), "best")
+        radius = cut.parts * (a + 1) - 1
+        done = (F.coalesce(F.size("best"), F.lit(0)) >= k) & (F.element_at("best", -1)["distance"] <= radius) if a < width else F.lit(True)
+        state = written(state.withColumn("done", F.coalesce(done, F.lit(False))).withColumn("radius", F.lit(min(radius, bits))))
+        ended.append(state.filter("done").drop("done"))
+        open_ = state.filter("not done").select("query", "verified", "best")
+        if open_.isEmpty():
+            break
+    found = reduce(DataFrame.unionByName, ended)
+    out = asked.join(found, asked["code"] == found["query"]).select(F.col("vec_id").alias("query_id"), F.posexplode("best").alias("rank", "b"), "radius", "verified")
+    return out.select("query_id", (F.col("rank") + 1).alias("rank"), F.col("b.id").alias("neighbor_id"), "b.distance", *["radius", "verified"] * with_search)
 
 
 SQL = """WITH p AS (SELECT q.vec_id AS query_id, e.vec_id AS neighbor_id,
