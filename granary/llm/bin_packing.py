@@ -3,9 +3,11 @@
 Documents are tokenized in full, closed with an end id and cut into pieces of at most `capacity` tokens; whole pieces are sequences of
 their own. The rest is dealt at random into shards of a bounded number of pieces. Each shard is packed by `islands` populations, one per
 row: an individual maps pieces to bins. Crossover injects the fullest bins of one parent whole into the other, removes the bins that
-hold the same pieces, and best-fits the displaced ones, longest first; mutation empties the worst bins. After each epoch
+hold the same pieces, and packs the displaced ones again: single pieces and pairs that fill a bin's room exactly are looked for first, then new bins are
+closed as tightly as a piece or a pair can, and what is left goes where it fits best. Mutation empties the worst bins and some others. Islands have different founders: best fit decreasing on
+the first, closely filled bins from different random choices on the others. After each epoch
 every island sends its best individual to the next (a shuffle by shard and island). An island stops when its best uses no
-more bins than the total length needs. The bins that stay poorly filled give their pieces back; these, a small share, go on to the next
+more bins than the total length needs. The bins that stay poorly filled give their pieces back, at most half of a shard's, those of the emptiest bins first; these go on to the next
 level, with fewer shards, until one shard holds what is left.
 
 Defined results: a null text is empty and has the end id only. Repeated rows are packed like others. An empty table gives no rows.
@@ -45,7 +47,8 @@ class Parameters:
     population: int = 3
     epochs: int = 2
     offspring: int = 3
-    injected: float = 0.05
+    injected: float = 0.3
+    mutated: float = 0.1
     well_filled: float = 0.98
 
 
@@ -149,6 +152,76 @@ class Bins:
         return k
 
 
+class Supply:
+    """Free pieces by length."""
+
+    def __init__(self, free: np.ndarray, lengths: np.ndarray, capacity: int):
+        self.count = np.bincount(lengths[free], minlength=capacity + 1)
+        order = free[np.argsort(lengths[free], kind="stable")]
+        at = np.concatenate([[0], np.cumsum(self.count)])
+        self.pieces = {int(n): order[at[n] : at[n + 1]].tolist() for n in np.flatnonzero(self.count)}
+        self.update()
+
+    def update(self) -> None:
+        """The longest piece of at most each length; 0, if there is none."""
+        self.at_most = np.maximum.accumulate(np.where(self.count > 0, np.arange(len(self.count)), 0))
+
+    def take(self, length: int) -> int:
+        self.count[length] -= 1
+        if not self.count[length]:
+            self.update()
+        return self.pieces[length].pop()
+
+    def pair(self, room: int, rng: np.random.Generator) -> tuple[int, int]:
+        """Lengths of two pieces that fill most of a room; one of the best such pairs."""
+        a = np.flatnonzero(self.count[: room + 1])
+        b = self.at_most[room - a]
+        twice = (b == a) & (self.count[a] < 2)
+        b[twice] = self.at_most[np.maximum(a[twice] - 1, 0)]
+        total = np.where(b > 0, a + b, 0)
+        if not len(a) or not total.max():
+            return 0, 0
+        best = rng.choice(np.flatnonzero(total == total.max()))
+        return int(a[best]), int(b[best])
+
+    def fill(self, room: int, exactly: bool, rng: np.random.Generator) -> list[int]:
+        """Pieces for a bin's room. exactly: one or two that leave nothing, or none."""
+        out: list[int] = []
+        while room and (one := int(self.at_most[room])):
+            a, b = (one, 0) if one == room else self.pair(room, rng)
+            if exactly and a + b != room:
+                break
+            # long pieces are placed while they leave room for two more; the last ones close the bin as a single piece or a pair can
+            chosen = [one] if a + b != room and self.at_most[room - one] and room > 3 * one else [a, b] if a + b > one else [one]
+            for n in filter(None, chosen):
+                out.append(self.take(n))
+                room -= n
+        return out
+
+
+def close(bins: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
+    """bins with the free pieces (-1) packed so that as many bins as can be are full."""
+    held, dense = np.unique(bins[bins >= 0], return_inverse=True)
+    out = np.full(len(bins), -1, np.int32)
+    out[bins >= 0] = dense
+    used = np.bincount(dense, weights=lengths[bins >= 0], minlength=len(held)).astype(np.int64)
+    supply = Supply(np.flatnonzero(out < 0), lengths, capacity)
+    for k in np.argsort(-used, kind="stable"):
+        if used[k] < capacity:
+            out[supply.fill(int(capacity - used[k]), True, rng)] = k
+    k = len(held)
+    while longest := int(supply.at_most[-1]):
+        first = supply.take(longest)
+        rest = supply.fill(capacity - longest, False, rng)
+        out[[first, *rest]] = k
+        k += 1
+    # the emptiest bins may fit into the room of others
+    last = np.argsort(np.bincount(out, weights=lengths))[:2]
+    loose = np.isin(out, last)
+    best = refill(np.where(loose, -1, out), np.flatnonzero(loose), lengths, capacity)
+    return best if best.max() <= out.max() else out
+
+
 def refill(bins: np.ndarray, free: np.ndarray, lengths: np.ndarray, capacity: int, order: np.ndarray | None = None) -> np.ndarray:
     """bins (piece -> bin, -1: free) with the free pieces best-fitted, longest first or by the order given."""
     _, dense = np.unique(bins[bins >= 0], return_inverse=True)
@@ -178,7 +251,7 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, p: Parameters,
     broken = np.zeros(int(b.max()) + 1, bool)
     broken[b[given]] = True
     child = np.where(given, a + len(broken), np.where(broken[b], -1, b))
-    return refill(child, np.flatnonzero(child < 0), lengths, p.capacity)
+    return close(child, lengths, p.capacity, rng)
 
 
 def mutate(bins: np.ndarray, lengths: np.ndarray, p: Parameters, rng: np.random.Generator) -> np.ndarray:
@@ -186,21 +259,25 @@ def mutate(bins: np.ndarray, lengths: np.ndarray, p: Parameters, rng: np.random.
     used = np.bincount(bins, weights=lengths)
     gone = np.zeros(len(used), bool)
     gone[np.argsort(used)[:3]] = True
-    gone[rng.random(len(used)) < 0.02] = True
-    child = np.where(gone[bins], -1, bins)
-    return refill(child, np.flatnonzero(child < 0), lengths, p.capacity)
+    gone |= rng.random(len(used)) < np.where(used < p.capacity, 0.3, p.mutated)
+    return close(np.where(gone[bins], -1, bins), lengths, p.capacity, rng)
 
 
-def evolve(lengths: np.ndarray, population: list[np.ndarray], p: Parameters, rng: np.random.Generator) -> list[np.ndarray]:
-    """One epoch of an island; an empty population is founded first, best fit decreasing and noisy orders of it."""
-    every, least = np.arange(len(lengths)), -(-int(lengths.sum()) // p.capacity)
+def found(lengths: np.ndarray, island: int, p: Parameters, rng: np.random.Generator) -> list[np.ndarray]:
+    """An island's first individuals: best fit decreasing on the first island, closely filled bins on the others; more of these, if the first is not at the bound."""
+    none = np.full(len(lengths), -1, np.int32)
+    least = -(-int(lengths.sum()) // p.capacity)
+    out = [close(none, lengths, p.capacity, rng) if island else refill(none, np.arange(len(lengths)), lengths, p.capacity)]
+    while len(out) < p.population and score(out[0], lengths, p.capacity)[0] > least:
+        out.append(close(none, lengths, p.capacity, rng))
+    return out
+
+
+def evolve(lengths: np.ndarray, population: list[np.ndarray], p: Parameters, rng: np.random.Generator, island: int = 0) -> list[np.ndarray]:
+    """One epoch of an island; an empty population is founded first."""
+    least = -(-int(lengths.sum()) // p.capacity)
     rate = lambda x: score(x, lengths, p.capacity)
-    if not population:
-        none = np.full(len(lengths), -1, np.int32)
-        population = [refill(none, every, lengths, p.capacity)]
-        while len(population) < p.population and rate(population[0])[0] > least:
-            population.append(refill(none, every, lengths, p.capacity, lengths * rng.uniform(0.9, 1.1, len(lengths))))
-    population = sorted(population, key=rate)
+    population = sorted(population or found(lengths, island, p, rng), key=rate)
     for _ in range(p.offspring):
         if rate(population[0])[0] <= least:
             break
@@ -227,7 +304,7 @@ def _epoch(p: Parameters, epoch: int):
         guests = sorted(r["genomes"] for r in rows if r["migrant"])
         population = [*own, *(np.frombuffer(g, np.int32) for g in guests)]
         rng = np.random.default_rng([home["shard"] % 2**63, home["island"], epoch])
-        population = [g.astype(np.int32) for g in evolve(lengths, population, p, rng)]
+        population = [g.astype(np.int32) for g in evolve(lengths, population, p, rng, home["island"])]
         out = [(home["shard"], home["island"], False, home["items"], home["lengths"], np.concatenate(population).tobytes())]
         if p.islands > 1:
             out.append((home["shard"], (home["island"] + 1) % p.islands, True, None, None, population[0].tobytes()))
@@ -256,7 +333,11 @@ def _best(p: Parameters, last: bool):
         found = [g for r in sorted(rows, key=lambda r: r["island"]) for g in np.frombuffer(r["genomes"], np.int32).reshape(-1, len(lengths))]
         best = min(found, key=lambda g: score(g, lengths, p.capacity))
         used = np.bincount(best, weights=lengths)
-        good = np.full(len(used), True) if last else used >= p.well_filled * p.capacity
+        good = np.full(len(used), True)
+        if not last:  # the emptiest bins give back at most half of the pieces, so each level has at most half of those of the one before
+            emptiest = np.argsort(used, kind="stable")
+            half = np.cumsum(np.bincount(best)[emptiest]) <= len(best) // 2
+            good[emptiest[half & (used[emptiest] < p.well_filled * p.capacity)]] = False
         order = np.argsort(best, kind="stable")
         ends = np.cumsum(lengths[order])
         first = np.concatenate([[0], np.cumsum(np.bincount(best))[:-1]])
@@ -281,13 +362,10 @@ def pack_items(items: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         state = written(dealt.groupBy("shard").applyInArrow(_islands(p), STATE))
         for epoch in range(p.epochs):
             state = written(state.groupBy("shard", "island").applyInArrow(_epoch(p, epoch), STATE))
-        found = written(state.groupBy("shard").applyInArrow(_best(p, shards == 1), "item long, length long, sequence_id long, offset long, placed boolean"))
-        left = found.filter("not placed").count() if shards > 1 else 0
-        if left > n // 2:  # the lengths themselves leave the bins open
-            done.append(found.select("item", "sequence_id", "offset"))
-            break
-        done.append(found.filter("placed").select("item", "sequence_id", "offset"))
-        rest, n, level = found.filter("not placed").select("item", "length"), left, level + 1
+        packed = written(state.groupBy("shard").applyInArrow(_best(p, shards == 1), "item long, length long, sequence_id long, offset long, placed boolean"))
+        left = packed.filter("not placed").count() if shards > 1 else 0
+        done.append(packed.filter("placed").select("item", "sequence_id", "offset"))
+        rest, n, level = packed.filter("not placed").select("item", "length"), left, level + 1
     return reduce(DataFrame.unionByName, done)
 
 
