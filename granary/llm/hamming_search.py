@@ -1,6 +1,6 @@
 """Operator 2: exact top-k search over binary codes by incremental multi-index hashing.
 
-A code is the signs of a vector, cut into segments about as long as the logarithm of the number of codes. One table, in buckets by cell, has a row for
+A code is the signs of a vector, cut into segments about as long as the logarithm of the number of codes. One table has a row for
 each segment of each code; a cell is a segment and its value. The search goes by rounds: in round a each open query asks for the cells whose value differs
 from its own in just a bits, and codes met there for the first time are verified: met first means that no segment is nearer than a, and none
 before this one as near, which the two codes alone tell. By the pigeonhole principle all codes within Hamming distance
@@ -26,11 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from granary.llm.common import bucketed, discard, map_batches, written
+from granary.llm.common import discard, map_batches, written
 
 BITS = 64
-#: Rows of a bucket of the table of cells.
-BUCKET_ROWS = 2_000_000
 
 
 def codes(vectors: DataFrame, bits: int = BITS, skip_other_lengths: bool = False) -> DataFrame:
@@ -100,7 +98,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS,
     entries = written(first.groupBy("code").agg(F.sort_array(F.collect_list(F.struct(F.col("vec_id")))).alias("ids")))
     n = entries.count()
     cut = Segments(n, bits)
-    table = bucketed(entries.select(F.explode(cut.cells("code")).alias("cell"), "code", F.col("ids.vec_id").alias("ids")), max(1, -(-n * cut.parts // BUCKET_ROWS)), "cell")
+    table = written(entries.select(F.explode(cut.cells("code")).alias("cell"), "code", F.col("ids.vec_id").alias("ids")))
     discard(entries)
     asked = written(codes(queries, bits, skip_other_lengths).filter(F.col("vec_id").isNotNull()))
     open_ = written(asked.select(F.col("code").alias("query"), F.lit(0).cast("long").alias("verified"), F.lit(None).cast("array<struct<distance:int,id:bigint>>").alias("best")).distinct())
@@ -108,7 +106,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS,
     order = ["distance", F.col("id").asc_nulls_first()]
     for a in range(width + 1):
         probes = open_.select("query", F.explode(cut.asked("query", a)).alias("cell"))
-        met = probes.join(table, "cell").filter(cut.met_first(a, "cell", "query", "code"))
+        # a merge join, whatever Spark takes the exploded queries' size for; it splits cells that many codes share
+        met = probes.join(table.hint("merge"), "cell").filter(cut.met_first(a, "cell", "query", "code"))
         met = met.select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).alias("distance"), "ids")
         counts = met.groupBy("query").agg(F.count("*").alias("more"))
         rows = met.select("query", "distance", F.explode("ids").alias("id")).unionByName(open_.select("query", F.inline("best")))
