@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 JOIN_KINDS = ("inner", "left")
 
@@ -31,6 +32,11 @@ def join(left: DataFrame, right: DataFrame, on: Column, kind: str = "inner") ->
     return left.join(right, on, kind)
 
 
+def star(joined: DataFrame, **tables: DataFrame) -> DataFrame:
+    """SELECT * over a join of aliased tables: all columns in order, each led by its table's alias, so that equal names stay apart."""
+    return joined.select(*[F.col(f"{alias}.{c}").alias(f"{alias}_{c}") for alias, df in tables.items() for c in df.columns])
+
+
 def aggregate(df: DataFrame, by: Sequence[Column] = (), having: Column | None = None, **columns: Column) -> DataFrame:
     """GROUP BY with HAVING over the output names. Without keys: one row, also for an empty input."""
     if not columns:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from granary.functions.dialect import int_avg, int_div, strict_and, strict_or
 from granary.operators import changes, relational as rel
 from granary.operators.snapshots import Snapshot, snapshot_read
 from granary.sources import catalog
-from granary.sources.parquet import scan
+from granary.session import shared_folder
+from granary.sources.parquet import RELATIONAL, TABLES, clustered, register, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -259,19 +261,88 @@ def mvcc_snapshot(spark, d):
     return snapshot_read(rows, status, Snapshot(50, 80, (10, 20, 33)))
 
 
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 4242")
+def clustered_lookup(spark, d):
+    return rel.lookup(clustered(scan(spark, d, "orders"), ["o_orderkey"], 8), "o_orderkey", 4242).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey >= 500 AND l_orderkey < 800")
+def clustered_range(spark, d):
+    return rel.range_scan(clustered(scan(spark, d, "lineitem"), ["l_orderkey", "l_linenumber"], 8), "l_orderkey", 500, 800).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("SELECT n_nationkey AS id, n_name AS name FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 100, 'ATLANTIS'")
+def create_table(spark, d):
+    name = f"granary_{uuid.uuid4().hex}"
+    table = catalog.create_table(spark, name, "id INT, name STRING", f"{shared_folder(spark)}/granary/{name}")
+    rows = scan(spark, d, "nation").filter("n_regionkey = 2").select("n_nationkey", "n_name")
+    changes.insert(rows, (100, "ATLANTIS")).write.insertInto(name)
+    return table
+
+
+@query("""SELECT a.n_nationkey AS a_n_nationkey, a.n_name AS a_n_name, a.n_regionkey AS a_n_regionkey,
+b.n_nationkey AS b_n_nationkey, b.n_name AS b_n_name, b.n_regionkey AS b_n_regionkey FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""")
+def star_over_join(spark, d):
+    a, b = scan(spark, d, "nation").alias("a"), scan(spark, d, "nation").alias("b")
+    both = rel.join(a, b, (F.col("a.n_regionkey") == F.col("b.n_regionkey")) & (F.col("a.n_nationkey") < F.col("b.n_nationkey")))
+    return rel.star(both, a=a, b=b)
+
+
+#: SQL text that spark.sql runs on the registered views and that gives the same rows elsewhere.
+STATEMENTS = {
+    "sql_inner_join": "SELECT c.c_custkey AS custkey, c.c_name AS name, o.o_orderkey AS orderkey FROM customer c INNER JOIN orders o ON c.c_custkey = o.o_custkey",
+    "sql_left_join": "SELECT p.p_partkey AS partkey, s.s_name AS name FROM part p LEFT JOIN supplier s ON p.p_partkey = s.s_suppkey",
+    "sql_three_tables": """SELECT o.o_orderkey AS orderkey, c.c_name AS customer, n.n_name AS nation FROM orders o INNER JOIN customer c ON o.o_custkey = c.c_custkey
+INNER JOIN nation n ON c.c_nationkey = n.n_nationkey WHERE n.n_regionkey = 1""",
+    "sql_aggregates": "SELECT COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS total, MIN(l_linenumber) AS least, MAX(l_linenumber) AS most FROM lineitem",
+    "sql_group_by": "SELECT l_returnflag, l_linestatus, COUNT(*) AS n, CAST(SUM(l_linenumber) AS BIGINT) AS total FROM lineitem GROUP BY l_returnflag, l_linestatus",
+    "sql_having": "SELECT o_custkey, COUNT(*) AS n FROM orders GROUP BY o_custkey HAVING COUNT(*) > 14",
+    "sql_lookup": "SELECT c_custkey, c_name, c_nationkey FROM customer WHERE c_custkey = 142",
+    "sql_predicates": "SELECT o_orderkey FROM orders WHERE NOT (o_orderstatus = 'F' OR o_custkey < 100) AND o_orderkey * 2 - 1 > 301 AND o_orderstatus <> 'P'",
+}
+
+
+def _statement(name: str, text: str) -> None:
+    def run(spark, d):
+        register(spark, d, RELATIONAL)
+        return spark.sql(text)
+
+    QUERIES[name], SQL[name] = run, text
+
+
+for _name, _text in STATEMENTS.items():
+    _statement(_name, _text)
+
+
+#: The columns of the folder's tables with the dialect's type codes (int 0, string 1; "-" and -1 for types that it lacks).
+COLUMNS = {
+    "region": "r_regionkey 0 r_name 1", "nation": "n_nationkey 0 n_name 1 n_regionkey 0",
+    "customer": "c_custkey - c_name 1 c_nationkey 0 c_acctbal - c_mktsegment 1", "supplier": "s_suppkey - s_name 1 s_nationkey 0 s_acctbal -",
+    "part": "p_partkey - p_name 1 p_brand 1 p_type 1 p_size 0 p_retailprice -",
+    "orders": "o_orderkey - o_custkey - o_orderstatus 1 o_totalprice - o_orderdate - o_orderpriority 1",
+    "lineitem": "l_orderkey - l_partkey - l_suppkey - l_linenumber 0 l_quantity - l_extendedprice - l_discount - l_tax - l_returnflag 1 l_linestatus 1 l_shipdate -",
+    "events": "event_id - ts - user_id - event_type 1 value - props 1", "documents": "doc_id - text 1 lang 1 source 1 n_chars -",
+    "embeddings": "vec_id - embedding - label 0", "pages": "page_id - url 1 html 1", "benchmark": "item_id - text 1",
+    "labels": "doc_id - quality 0 toxic 0", "conversations": "conv_id - turn - role 1 text 1",
+}
+
+
 def _schemas(spark, d):
-    return {t: scan(spark, d, t).schema for t in ("region", "nation")}
+    return {t: scan(spark, d, t).schema for t in TABLES}
 
 
-@query("SELECT * FROM (VALUES (0, 'region'), (1, 'nation')) AS t(table_id, name)")
+@query("SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(TABLES)) + ") AS t(table_id, name)")
 def catalog_tables(spark, d):
     return catalog.pg_class(spark, _schemas(spark, d)).drop("first_page_id")
 
 
-@query("""SELECT * FROM (VALUES (0, 'r_regionkey', 0, TRUE, 0), (0, 'r_name', 1, TRUE, 1), (1, 'n_nationkey', 0, TRUE, 0),
-(1, 'n_name', 1, TRUE, 1), (1, 'n_regionkey', 0, TRUE, 2)) AS t(table_id, column_name, data_type, nullable, ordinal_position)""")
+@query(
+    "SELECT table_id, column_name, CAST(data_type AS INTEGER) AS data_type, TRUE AS nullable, ordinal_position FROM (VALUES "
+    + ", ".join(f"({i}, '{c}', {code.replace('-', '-1')}, {k})" for i, t in enumerate(TABLES) for k, (c, code) in enumerate(zip(COLUMNS[t].split()[::2], COLUMNS[t].split()[1::2], strict=True)))
+    + ") AS t(table_id, column_name, data_type, ordinal_position)"
+)
 def catalog_attributes(spark, d):
-    return catalog.pg_attribute(spark, _schemas(spark, d))
+    return catalog.pg_attribute(spark, _schemas(spark, d)).fillna(-1, ["data_type"])
 
 
 @query("SELECT 0 AS index_id, 'nation_key' AS index_name, 1 AS table_id, '2,0' AS column_ids")

@@ -7,6 +7,13 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+def create_table(spark: SparkSession, name: str, schema: str, location: str | None = None) -> DataFrame:
+    """CREATE TABLE: an empty Parquet table of Spark's catalog; a name that is taken is an error, as are equal column names."""
+    where = f" LOCATION '{location}'" if location else ""
+    spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet{where}")
+    return spark.table(name)
+
+
 PG_CLASS = "table_id int, name string, first_page_id int"
 PG_ATTRIBUTE = "table_id int, column_name string, data_type int, nullable boolean, ordinal_position int"
 PG_INDEX = "index_id int, index_name string, table_id int, column_ids string, root_page_id int"

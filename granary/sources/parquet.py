@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.session import shared_folder
+
+RELATIONAL = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 TABLES = (
-    "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
-    "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+    *RELATIONAL, "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
@@ -31,3 +35,10 @@ def write_clustered(df: DataFrame, path: str, keys: list[str], files: int) -> No
     """
     order = [df[k].asc_nulls_first() for k in keys]
     df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)
+
+
+def clustered(df: DataFrame, keys: list[str], files: int) -> DataFrame:
+    """The rows of df in a clustered layout of their own, from which lookups by the key read only the row groups that may have it."""
+    path = f"{shared_folder(df.sparkSession)}/granary/index-{uuid.uuid4().hex}"
+    write_clustered(df, path, keys, files)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

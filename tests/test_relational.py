@@ -138,3 +138,49 @@ def test_import_without_the_text_operators(tmp_path):
     shutil.copy(repo / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert set(e.queries()) == set(e.oracle_sql()) and 'flagship' in e.queries()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
+
+
+def test_clustered_lookup_skips_row_groups(spark, tmp_path):
+    """One of eight files has the key in its statistics, and Spark reads no more than that file's rows."""
+    import pyarrow.parquet as pq
+
+    path = f"{tmp_path}/index"
+    write_clustered(scan(spark, SF, "orders"), path, ["o_orderkey"], 8)
+    ranges = []
+    for f in (tmp_path / "index").glob("*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        at = meta.schema.to_arrow_schema().get_field_index("o_orderkey")
+        ranges += [(g.column(at).statistics.min, g.column(at).statistics.max, g.num_rows) for g in map(meta.row_group, range(meta.num_row_groups))]
+    hit = [r for r in ranges if r[0] <= 420 <= r[1]]
+    assert len(ranges) == 8 and len(hit) == 1
+    df = rel.lookup(spark.read.parquet(f"file://{path}"), "o_orderkey", 420)
+    assert "EqualTo(o_orderkey,420)" in df._jdf.queryExecution().executedPlan().toString()
+    assert [r["o_orderkey"] for r in df.collect()] == [420]
+    read = spark.read.parquet(f"file://{path}").filter("o_orderkey = 420 OR o_orderkey = -1")
+    assert read.count() == 1
+
+
+def test_create_table_and_its_errors(spark):
+    catalog.create_table(spark, "made_once", "id INT, name STRING")
+    try:
+        spark.sql("INSERT INTO made_once VALUES (1, 'Alice')")
+        assert rows(spark.table("made_once")) == [(1, "Alice")]
+        for bad in ("CREATE TABLE made_once (id INT) USING parquet", "SELECT * FROM nowhere", "SELECT nothing FROM made_once", "INSERT INTO made_once VALUES (1)"):
+            with pytest.raises(AnalysisException):
+                spark.sql(bad)
+        with pytest.raises(AnalysisException):
+            catalog.create_table(spark, "made_once", "id INT, name STRING")
+        with pytest.raises(AnalysisException):
+            catalog.create_table(spark, "made_twice", "id INT, id STRING")
+    finally:
+        spark.sql("DROP TABLE IF EXISTS made_once")
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from granary.session import shared_folder
+
+    none = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(none)
