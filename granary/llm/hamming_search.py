@@ -51,10 +51,10 @@ def codes(vectors: DataFrame, bits: int = BITS, skip_other_lengths: bool = False
 
 
 class Segments:
-    """How codes are cut: `parts` segments of `width` bits, the last maybe shorter."""
+    """How codes are cut: `parts` segments of `width` bits, the last maybe shorter. A cell holds about four codes, so asking and verifying cost about the same."""
 
     def __init__(self, n_codes: int, bits: int = BITS):
-        self.parts = max(1, round(bits / max(4, min(20, (max(2, n_codes)).bit_length() - 1))))
+        self.parts = max(1, round(bits / max(4, min(20, max(2, n_codes).bit_length() - 3))))
         self.width = -(-bits // self.parts)
         self.parts = -(-bits // self.width)
         self.widths = [min(self.width, bits - b * self.width) for b in range(self.parts)]
