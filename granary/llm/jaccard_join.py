@@ -10,8 +10,8 @@ The join follows set relations, after a reduction that every document passes thr
 4. Classes that share a list form candidate groups (contracting star rounds over lists and classes; no pairs are made).
 5. Within a group, index lists are ordered by how many shingles of a set are left from the list's position, so that a list is
    read only as far as a link is still possible (position skipping); and the answers of a set are derived from those of a
-   similar one: sets already in the component need no test, and by the triangle inequality of the Jaccard distance a set far from
-   the first is far from its neighbour. Only what remains is verified, by exact intersection.
+   similar one: its intersections with all sets are that one's, less the lists of shingles which only that one has, plus the lists
+   of those which only it has. Links are few lists apart, so a large group costs little more than its first set.
    A group of over GROUP_ROWS classes or GROUP_BYTES is split into blocks; each pair of blocks is one task of bounded size.
 
 Defined results: a text without words, or null, has the empty set and is linked with nothing, not even with other empty ones.
@@ -43,6 +43,8 @@ BUCKET_SHINGLES = 2_000_000
 GROUP_ROWS = 4096
 GROUP_BYTES = 64_000_000
 _KNOWN_WORDS = 300_000
+#: Up to so many candidates of a set are compared with it one by one; its intersections with all sets are worth their cost beyond.
+FEW = 4
 
 
 class WordHashes(dict):
@@ -326,13 +328,20 @@ class Group:
                 found.append(self.head_doc[lo:end])
         return np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
 
-    def overlaps(self, x: int, others: np.ndarray) -> np.ndarray:
-        """Exact intersection sizes of x with the others."""
-        own = self.token[self.at[x] : self.at[x + 1]]
-        if len(others) <= 4:
-            return np.array([np.isin(self.token[self.at[y] : self.at[y + 1]], own).sum() for y in others])
-        lists = [self.docs[self.start[t] : self.start[t + 1]] for t in own]
-        return np.bincount(np.concatenate(lists), minlength=self.m)[others]
+    def postings(self, tokens: np.ndarray) -> np.ndarray:
+        """How many of these shingles each set has."""
+        lists = [self.docs[self.start[t] : self.start[t + 1]] for t in tokens]
+        return np.bincount(np.concatenate(lists), minlength=self.m) if lists else np.zeros(self.m, np.int64)
+
+    def tokens(self, x: int) -> np.ndarray:
+        return self.token[self.at[x] : self.at[x + 1]]
+
+    def overlaps(self, x: int, pivot: int | None, known: np.ndarray | None) -> np.ndarray:
+        """Exact intersection sizes of x with every set: the pivot's, less what only the pivot has, plus what only x has."""
+        if known is None:
+            return self.postings(self.tokens(x))
+        gone, come = (np.setdiff1d(self.tokens(p), self.tokens(q), assume_unique=True) for p, q in ((pivot, x), (x, pivot)))
+        return known - self.postings(gone) + self.postings(come)
 
     def components(self) -> np.ndarray:
         """A component number for each set."""
@@ -341,22 +350,23 @@ class Group:
             if label[seed] >= 0:
                 continue
             label[seed] = seed
-            waiting = [(seed, None, None, 0.0)]
-            while waiting:
-                x, pivot, known, far = waiting.pop()
-                open_ = self.candidates(x) if x == seed or (label < 0).any() else np.empty(0, np.int64)
-                open_ = open_[label[open_] < 0]
-                if known is not None and len(open_):  # the pivot's answers rule out sets too far from it
-                    open_ = open_[known[open_] - far <= 1 - NUM / DEN + 1e-9]
-                if not len(open_):
-                    continue
-                common = self.overlaps(x, open_)
-                both = self.n[x] + self.n[open_]
-                hit = open_[(NUM + DEN) * common >= NUM * both]
-                distance = np.full(self.m, 0.0)  # unknown: rules nothing out
-                distance[open_] = 1 - common / (both - common)
+            waiting = [(seed, None, None)]
+            while waiting and (label < 0).any():
+                x, pivot, known = waiting.pop()
+                if known is None:
+                    open_ = self.candidates(x)
+                    open_ = open_[label[open_] < 0]
+                else:  # a derived answer covers all sets, so no list is searched
+                    open_ = np.flatnonzero(label < 0)
+                if known is None and len(open_) <= FEW:
+                    own = self.tokens(x)
+                    common = np.array([np.isin(self.tokens(y), own).sum() for y in open_], np.int64)
+                else:
+                    known = self.overlaps(x, pivot, known)
+                    common = known[open_]
+                hit = open_[(NUM + DEN) * common >= NUM * (self.n[x] + self.n[open_])]
                 label[hit] = seed
-                waiting += [(y, x, distance, distance[y]) for y in hit]
+                waiting += [(y, x, known) for y in hit]
         return label
 
 
