@@ -3,8 +3,8 @@
 The join follows set relations, after a reduction that every document passes through in bounded pieces:
 
 1. Equal sets are one class (a 64-bit fingerprint of the sorted shingles); copies are never compared.
-2. Shingles are dealt to buckets by their hash, packed per task, each set once a pack. A bucket counts in how many sets each
-   shingle is and drops those of one set only: they can't be common to two. The others go back to their pack.
+2. One pass over the texts deals shingles to buckets by their hash, packed per task, each set once a pack. A bucket counts in how
+   many sets each shingle is and drops those of one set only: they can't be common to two. The others go back to their pack.
 3. A class whose shared shingles are under the threshold's part of its size can't link with any other and leaves. The rest is
    kept as a core: its shared shingles, rarest first. A class stands in the lists of its first core shingles (prefix filter).
 4. Classes that share a list form candidate groups (contracting star rounds over lists and classes; no pairs are made).
@@ -80,18 +80,6 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def set_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles and fp, the class of equal sets."""
-
-    def rows(batch, known) -> dict:
-        sets = [shingles(t, known) for t in batch["text"].to_pylist()]
-        fps = np.array([fingerprint(s) for s in sets], np.uint64)
-        return {"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "n_shingles": [len(s) for s in sets], "fp": _signed(fps)}
-
-    texts = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.col("doc_id").isNull(), "text"))
-    return map_batches(texts, "doc_id long, text_hash long, n_shingles long, fp long", rows, WordHashes)
-
-
 def _emit(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
@@ -111,28 +99,30 @@ def _from_small(data: bytes, n: int) -> np.ndarray:
 
 
 PACKED = "bucket int, pack long, runs int, places binary, counts binary, values binary"
+#: A document in the head of its pack; place is that of its set, -1 for the empty one.
+DOCUMENT = np.dtype([("doc_id", np.int64), ("none", np.bool_), ("text_hash", np.int64), ("place", np.int32)])
 
 
 def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
     """Shingles (upper 48 bits) by bucket, packed: a pack holds the distinct sets that a task has met since its last one.
 
     A row has the places of sets in the pack, their numbers of shingles in the bucket, and these. One row per pack, with a bucket
-    below 0, has the fingerprints and sizes of its sets.
+    below 0, is its head: its documents, and the fingerprints and sizes of its sets.
     """
     schema = pa.schema([("bucket", pa.int32()), ("pack", pa.int64()), ("runs", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("values", pa.binary())])
 
-    def flush(pack: int, sets: dict[int, np.ndarray]) -> pa.RecordBatch:
+    def flush(pack: int, sets: dict[int, np.ndarray], heads: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([len(s) for s in sets.values()], np.int64)
-        out = {"bucket": [-1 - pack % n_buckets], "pack": [pack], "runs": [len(sets)], "places": [b""], "counts": [sizes.astype(np.uint32).tobytes()],
-               "values": [np.fromiter(sets, np.uint64, len(sets)).tobytes()]}
-        every = np.concatenate(list(sets.values())) >> np.uint64(16)
+        out = {"bucket": [-1 - pack % n_buckets], "pack": [pack], "runs": [len(sets)], "places": [np.array(heads, DOCUMENT).tobytes()],
+               "counts": [sizes.astype(np.uint32).tobytes()], "values": [np.fromiter(sets, np.uint64, len(sets)).tobytes()]}
+        every = np.concatenate([np.empty(0, np.uint64), *sets.values()]) >> np.uint64(16)
         owner = np.repeat(np.arange(len(sizes)), sizes)
         bucket = (every % np.uint64(n_buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         every, owner, bucket = every[order], owner[order], bucket[order]
         six = every.view(np.uint8).reshape(-1, 8)[:, :6]
         at = _runs(bucket)
-        for a, b in zip(at[:-1], at[1:], strict=True):
+        for a, b in zip(at[:-1], at[1:], strict=True):  # no bucket if all sets are empty
             inner = _runs(owner[a:b])
             out["bucket"].append(int(bucket[a]))
             out["pack"].append(pack)
@@ -143,20 +133,24 @@ def _packed(docs: DataFrame, n_buckets: int) -> DataFrame:
         return _emit(schema, **out)
 
     def run(batches):
-        known, sets, total, pack = WordHashes(), {}, 0, TaskContext.get().partitionId() << 24
+        known, sets, places, heads, total, pack = WordHashes(), {}, {}, [], 0, TaskContext.get().partitionId() << 24
         for batch in batches:
-            for text in batch["text"].to_pylist():
+            for doc_id, text, text_hash in zip(*(batch[k].to_pylist() for k in ("doc_id", "text", "text_hash")), strict=True):
                 s = shingles(text, known)
-                if len(s) and (fp := fingerprint(s)) not in sets:
+                fp = fingerprint(s)
+                if len(s) and fp not in sets:
+                    places[fp] = len(sets)
                     sets[fp] = s
                     total += len(s)
-                if total >= FLUSH:
-                    yield flush(pack, sets)
-                    sets, total, pack = {}, 0, pack + 1
-        if sets:
-            yield flush(pack, sets)
+                heads.append((doc_id or 0, doc_id is None, text_hash, places[fp] if len(s) else -1))
+                if total >= FLUSH or len(heads) >= FLUSH // 8:
+                    yield flush(pack, sets, heads)
+                    sets, places, heads, total, pack = {}, {}, [], 0, pack + 1
+        if heads:
+            yield flush(pack, sets, heads)
 
-    return documents(docs, "text").mapInArrow(run, PACKED)
+    texts = documents(docs, "doc_id", "text").withColumn("text_hash", F.xxhash64(F.col("doc_id").isNull(), "text"))
+    return texts.mapInArrow(run, PACKED)
 
 
 def _read_six(data: bytes) -> np.ndarray:
@@ -170,6 +164,7 @@ def _shared(packed: DataFrame, partitions: int) -> DataFrame:
     """The shingles that two or more sets have, back by pack: places, and words (shingle << 16 | number of sets, at most 65535).
 
     Copies in different packs count as sets here; that keeps more than needed, never less. Rows with sizes pass on the packs' heads.
+    Buckets go to partitions by their number, so each partition has as many as the next.
     """
     schema = pa.schema([("pack", pa.int64()), ("places", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
 
@@ -197,24 +192,39 @@ def _shared(packed: DataFrame, partitions: int) -> DataFrame:
                     rows = []
                 now = bucket
                 if bucket < 0:
-                    yield _emit(schema, pack=[row[0]], places=[None], sizes=[row[3]], words=[row[4]])
+                    yield _emit(schema, pack=[row[0]], places=[row[2]], sizes=[row[3]], words=[row[4]])
                 else:
                     rows.append(row)
         if rows:
             yield count(rows)
 
-    dealt = packed.repartition(partitions, "bucket").sortWithinPartitions("bucket")
+    dealt = packed.repartitionById(partitions, F.pmod("bucket", F.lit(partitions))).sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, "pack long, places binary, sizes binary, words binary")
 
 
-def _cores(shared: DataFrame, partitions: int) -> DataFrame:
-    """fp, n and core of the sets that may link with others, at least once each. core: 48-bit shingles, fewest sets first."""
-    schema = pa.schema([("fp", pa.int64()), ("n", pa.int64()), ("core", pa.binary())])
+#: Rows of documents have no core, those of sets have neither doc_id nor text_hash.
+SETTLED = "doc_id long, text_hash long, fp long, n long, core binary"
+
+
+def _settled(shared: DataFrame, partitions: int) -> DataFrame:
+    """Every document with its set's fp and size; and fp, n and core of the sets that may link with others, at least once each.
+
+    core: 48-bit shingles, fewest sets first.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64()), ("n", pa.int64()), ("core", pa.binary())])
+
+    def owners(docs: bytes, fps: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        d = np.frombuffer(docs, DOCUMENT)
+        fp, n = (np.append(x, 0)[d["place"]] for x in (fps, sizes.astype(np.int64)))  # place -1 is the 0 at the end
+        return pa.RecordBatch.from_arrays([pa.array(d["doc_id"], mask=d["none"]), pa.array(d["text_hash"]), pa.array(fp), pa.array(n), pa.nulls(len(d), pa.binary())], schema=schema)
 
     def settle(heads: tuple | None, places: list, words: list) -> Iterator[pa.RecordBatch]:
-        if not heads or not places:
+        if not heads:
+            return
+        docs, fps, sizes = heads
+        yield owners(docs, fps, sizes)
+        if not places:
             return
-        fps, sizes = heads
         place, w = np.concatenate(places), np.concatenate(words)
         order = np.lexsort((w >> np.uint64(16), w & np.uint64(65535), place))
         place, w = place[order], w[order] >> np.uint64(16)
@@ -223,7 +233,7 @@ def _cores(shared: DataFrame, partitions: int) -> DataFrame:
         for a, b in zip(at[:-1], at[1:], strict=True):
             n = int(sizes[place[a]])
             if b - a >= -(-NUM * n // DEN):
-                for k, v in (("fp", int(fps[place[a]])), ("n", n), ("core", w[a:b].tobytes())):
+                for k, v in (("doc_id", None), ("text_hash", None), ("fp", int(fps[place[a]])), ("n", n), ("core", w[a:b].tobytes())):
                     out[k].append(v)
         if out:
             yield _emit(schema, **out)
@@ -236,14 +246,14 @@ def _cores(shared: DataFrame, partitions: int) -> DataFrame:
                     yield from settle(heads, places, words)
                     now, heads, places, words = pack, None, [], []
                 if sizes is not None:
-                    heads = np.frombuffer(w, np.int64), np.frombuffer(sizes, np.uint32)
+                    heads = p, np.frombuffer(w, np.int64), np.frombuffer(sizes, np.uint32)
                 else:
                     places.append(np.frombuffer(p, np.uint32))
                     words.append(np.frombuffer(w, np.uint64))
         yield from settle(heads, places, words)
 
     dealt = shared.repartition(partitions, "pack").sortWithinPartitions("pack")
-    return dealt.mapInArrow(run, "fp long, n long, core binary")
+    return dealt.mapInArrow(run, SETTLED)
 
 
 def prefix_length(n: int, core: int) -> int:
@@ -440,13 +450,13 @@ def jaccard_components(docs: DataFrame, group_rows: int = GROUP_ROWS, with_keys:
 
     On request also text_hash and seed, which tells components apart.
     """
-    found = written(set_classes(docs))
+    # A text has about a shingle in six bytes. Buckets and packs grow in number with the data, not in size.
+    total = (docs.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0) // 6
+    partitions = max(8, -(-total // BUCKET_SHINGLES))
+    settled = written(_settled(_shared(_packed(docs, partitions), partitions), max(8, -(-total // (FLUSH // 2)))))
+    found = settled.filter("core IS NULL").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "fp")
+    cores = settled.filter("core IS NOT NULL").select("fp", "n", "core")
     classes = written(found.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
-    total = found.agg(F.sum("n_shingles").alias("n")).first()["n"] or 0
-    # Buckets grow with the data; each holds a bounded number of shingles on average, and so does each pack.
-    n_buckets = max(32, -(-total // BUCKET_SHINGLES))
-    partitions = max(8, -(-n_buckets // 2))
-    cores = written(_cores(_shared(_packed(docs, n_buckets), partitions), max(8, -(-total // (FLUSH // 2)))))
     links = class_links(cores, partitions, group_rows)
     named = classes.join(links, "fp", "left").withColumn("seed", F.coalesce("seed", "fp"))
     least = named.groupBy("seed").agg(F.min("first").alias("component_id"))
