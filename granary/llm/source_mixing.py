@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from granary.llm.common import documents, map_batches, written
+from granary.llm.common import documents, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED_WORD = r"[\x20\x09-\x0D]*" + WORD
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -109,16 +109,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", taken_of().alias("taken"), "source")
 
 
-def first_words(text: str, n: int) -> str:
+def first_words(text: Column, n: Column) -> Column:
     """The text up to the end of its n-th word."""
-    at = 0
-    import re
-
-    for k, m in enumerate(re.finditer(WORD, text), 1):
-        at = m.end()
-        if k == n:
-            break
-    return text[:at]
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(SPACED_WORD), F.lit(0)), F.lit(1), n.cast("int")), "")
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -136,14 +129,10 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     lengths = F.concat(lengths, F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
     rows = rows.select("_row", F.explode(lengths).alias("_words"))
 
-    def cut(batch) -> dict:
-        texts = batch["_row"].field("text").cast("string").to_pylist()
-        return {"_row": batch["_row"], "_text": [t if n < 0 else first_words(t, n) for t, n in zip(texts, batch["_words"].to_pylist(), strict=True)], "_words": batch["_words"]}
-
-    schema = T.StructType([T.StructField("_row", docs.schema), T.StructField("_text", T.StringType()), T.StructField("_words", T.LongType())])
-    out = map_batches(rows, schema, cut)
-    new = {"text": F.col("_text"), "n_chars": F.when(F.col("_words") < 0, F.col("_row.n_chars") if "n_chars" in cols else F.lit(None)).otherwise(F.length("_text"))}
-    return out.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_row")[c].alias(c) for c in cols])
+    whole_text, text = F.col("_words") < 0, F.col("_row.text").cast("string")
+    rows = rows.withColumn("_text", F.when(whole_text, text).otherwise(first_words(text, F.col("_words"))))
+    new = {"text": F.col("_text"), "n_chars": F.when(whole_text, F.col("_row.n_chars") if "n_chars" in cols else F.lit(None)).otherwise(F.length("_text"))}
+    return rows.select(*[new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("_row")[c].alias(c) for c in cols])
 
 
 SQL = r"""WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,

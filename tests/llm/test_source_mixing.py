@@ -59,6 +59,14 @@ def test_the_mix_has_the_words_taken(spark):
     assert got == {k: v for k, v in want.items() if v}
 
 
+def test_cut_texts_are_beginnings(spark):
+    texts = [" \t a  bé\n\n漢字 c\u00a0d e ", "x y z", "\n"]
+    docs = spark.createDataFrame([(t, n) for t in texts for n in (1, 2, 3)], "text string, n long")
+    for text, n, cut in docs.select("text", "n", source_mixing.first_words(docs.text, docs.n)).collect():
+        words = list(re.finditer(source_mixing.WORD, text))[:n]
+        assert cut == text[: words[-1].end() if words else 0]
+
+
 def test_extreme_sources(spark):
     for given in [{"a": 1, "b": 1000, "c": 5}, {"a": 0, "b": 3}, {"a": 7}, {"a": 0}]:
         rows = [(i, "w " * n, "en", s, 0, "", 0, "", 0, "", "") for i, (s, n) in enumerate(given.items())]
