@@ -12,7 +12,9 @@ The join follows set relations, after a reduction that every document passes thr
    read only as far as a link is still possible (position skipping); and the answers of a set are derived from those of a
    similar one: its intersections with all sets are that one's, less the lists of shingles which only that one has, plus the lists
    of those which only it has. Links are few lists apart, so a large group costs little more than its first set.
-   A group of over GROUP_ROWS classes or GROUP_BYTES is split into blocks; each pair of blocks is one task of bounded size.
+   A group of over GROUP_ROWS classes or GROUP_BYTES is dealt to blocks by MIXES different hashes, each block one task: near copies of one
+   another find together, each class being sent MIXES times. Only lists with classes of different components are then left; what they
+   hold goes to blocks again, by component, and each pair of blocks that aren't of the same component is one task of bounded size.
 
 Defined results: a text without words, or null, has the empty set and is linked with nothing, not even with other empty ones.
 Repeated rows are copies. component_id is the smallest doc_id of a component (nulls don't count, unless there is no other).
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import documents, map_batches, window_hashes, written
@@ -37,11 +39,13 @@ from granary.llm.common import documents, map_batches, window_hashes, written
 WIDTH = 5
 #: Sets link at intersection / union >= NUM / DEN.
 NUM, DEN = 4, 5
-#: Shingles that a map task packs before it sends them on; shingles to a bucket; classes and bytes that one group task holds.
+#: Shingles that a map task packs before it sends them on; shingles to a bucket; classes and bytes that one group task holds;
+#: by how many hashes a larger group is dealt to blocks.
 FLUSH = 2_000_000
 BUCKET_SHINGLES = 2_000_000
-GROUP_ROWS = 4096
+GROUP_ROWS = 1024
 GROUP_BYTES = 64_000_000
+MIXES = 2
 _KNOWN_WORDS = 300_000
 #: Up to so many candidates of a set are compared with it one by one; its intersections with all sets are worth their cost beyond.
 FEW = 4
@@ -408,25 +412,61 @@ def _linked(grouped: DataFrame, partitions: int) -> DataFrame:
     return dealt.mapInArrow(run, "fp long, seed long")
 
 
+def _size(members: str, of_bytes: str, group_rows: int):
+    """Blocks of half a task's size for so many classes and bytes, so that two blocks fit a task."""
+    return F.ceil(F.greatest(2 * F.col(members) / group_rows, 2 * F.col(of_bytes) / GROUP_BYTES)).cast("int")
+
+
+def _seeds(links: DataFrame) -> DataFrame:
+    """fp and seed by links (fp, seed) of different tasks: linked classes have one seed."""
+    edges = links.select(F.xxhash64("fp", "seed").alias("list"), F.explode(F.array("fp", "seed")).alias("v"))
+    return groups_of(edges).select(F.col("v").alias("fp"), F.col("root").alias("seed"))
+
+
+def _between(large: DataFrame, seeds: DataFrame, lists: DataFrame, group_rows: int) -> DataFrame:
+    """Tasks (task, fp, n, core) that hold every pair of classes of large(fp, n, core) that may link and have different seeds.
+
+    Lists within one component are settled. What the other lists hold together is dealt to blocks: a component of over half a task has blocks of its own,
+    the rest shares some. Pairs of blocks are tasks, but for blocks of the same component.
+    """
+    known = lists.withColumnRenamed("v", "fp").join(large.select("fp"), "fp", "left_semi").join(seeds, "fp", "left").withColumn("seed", F.coalesce("seed", "fp"))
+    open_ = known.groupBy("list").agg(F.min("seed").alias("a"), F.max("seed").alias("z")).filter("a < z").select("list")
+    left = written(known.join(open_, "list"))
+    roots = groups_of(left.select("list", F.col("fp").alias("v"))).select(F.col("v").alias("fp"), "root")
+    classes = left.select("fp", "seed").distinct().join(roots, "fp").join(large, "fp")
+    parts = classes.groupBy("root", "seed").agg(F.count("*").alias("members"), F.sum(F.length("core")).alias("bytes"))
+    parts = written(parts.withColumn("own", (2 * F.col("members") > group_rows) | (2 * F.col("bytes") > GROUP_BYTES)))
+    blocks = parts.groupBy("root", F.when(F.col("own"), F.col("seed")).alias("key")).agg(F.sum("members").alias("members"), F.sum("bytes").alias("bytes"))
+    blocks = blocks.select("root", "key", _size("members", "bytes", group_rows).alias("blocks"))
+    by_root = Window.partitionBy("root")
+    until = F.sum("blocks").over(by_root.orderBy("key").rowsBetween(Window.unboundedPreceding, 0))
+    blocks = blocks.select("root", "key", "blocks", (until - F.col("blocks")).alias("first"), F.sum("blocks").over(by_root).alias("of"))
+    placed = classes.join(parts.select("root", "seed", F.when(F.col("own"), F.col("seed")).alias("key")), ["root", "seed"])
+    placed = placed.join(blocks.withColumnsRenamed({"root": "_root", "key": "_key"}), (F.col("root") == F.col("_root")) & F.col("key").eqNullSafe(F.col("_key")))
+    own = F.col("first") + F.pmod(F.xxhash64("fp"), "blocks")
+    meets = F.filter(F.sequence(F.lit(0).cast("bigint"), F.col("of") - 1), lambda j: F.col("key").isNull() | (j < F.col("first")) | (j >= F.col("first") + F.col("blocks")))
+    task = F.transform(meets, lambda j: F.xxhash64("root", F.least(own, j), F.greatest(own, j)))
+    return placed.select(F.explode(task).alias("task"), "fp", "n", "core")
+
+
 def class_links(cores: DataFrame, partitions: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """fp and seed: classes that are linked, directly or through others, have the same seed."""
-    roots = groups_of(_lists(cores))
-    placed = cores.dropDuplicates(["fp"]).join(roots.withColumnRenamed("v", "fp"), "fp")
-    sizes = cores.select("fp", F.length("core").alias("b")).distinct().join(roots.withColumnRenamed("v", "fp"), "fp")
+    lists = _lists(cores)
+    roots = groups_of(lists).withColumnRenamed("v", "fp")
+    placed = cores.dropDuplicates(["fp"]).join(roots, "fp")
+    sizes = cores.select("fp", F.length("core").alias("b")).distinct().join(roots, "fp")
     sizes = sizes.groupBy("root").agg(F.count("*").alias("members"), F.sum("b").alias("bytes"))
-    halves = F.ceil(F.greatest(2 * F.col("members") / group_rows, 2 * F.col("bytes") / GROUP_BYTES)).cast("int")
-    large = written(sizes.filter((F.col("members") > group_rows) | (F.col("bytes") > GROUP_BYTES)).select("root", halves.alias("blocks")))
+    big = (F.col("members") > group_rows) | (F.col("bytes") > GROUP_BYTES)
+    large = written(sizes.filter(big).select("root", _size("members", "bytes", group_rows).alias("blocks")))
     if large.isEmpty():
         return written(_linked(placed.withColumn("task", F.col("root")), partitions))
     placed = placed.join(large, "root", "left")
-    blocks = F.col("blocks")
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    task = F.when(blocks.isNull(), F.array("root")).otherwise(
-        F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.xxhash64("root", F.least(own, j.cast("bigint")), F.greatest(own, j.cast("bigint"))))
-    )
-    local = written(_linked(placed.withColumn("task", F.explode(task)), partitions))
-    edges = local.select(F.xxhash64("fp", "seed").alias("list"), F.explode(F.array("fp", "seed")).alias("v"))
-    return groups_of(edges).select(F.col("v").alias("fp"), F.col("root").alias("seed"))
+    mixes = [F.xxhash64("root", F.pmod(F.xxhash64("fp", F.lit(k)), "blocks"), F.lit(k)) for k in range(MIXES)]
+    task = F.when(F.col("blocks").isNull(), F.array("root")).otherwise(F.array(*mixes))
+    within = written(_linked(placed.withColumn("task", F.explode(task)), partitions))
+    split = written(placed.filter("blocks IS NOT NULL").select("fp", "n", "core"))
+    across = written(_linked(_between(split, _seeds(within), lists, group_rows), partitions))
+    return _seeds(within.unionByName(across))
 
 
 def keep_one(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:

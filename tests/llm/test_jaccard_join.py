@@ -72,6 +72,25 @@ def test_answers_derived_from_a_similar_set_are_its_own(monkeypatch):
     assert max(derived) == 200 and np.median(derived) < 40  # one set in full, the rest by what differs
 
 
+def test_a_large_group_of_near_copies_is_not_sent_to_all_its_blocks(spark, monkeypatch):
+    """One large component, and texts that share its passage without a link: rows sent grow with the group, not with its square."""
+    import random
+
+    rng, sent = random.Random(8), []
+    base = [f"b{i}" for i in range(60)]
+    copies = [" ".join([*base[:k], f"n{k}x", *base[k + 1 :]]) for k in range(60)] + [" ".join([*base, f"t{k}"]) for k in range(140)]
+    others = [" ".join([*base[:30], *(f"o{k}_{rng.randrange(9)}" for _ in range(40))]) for k in range(6)]
+    docs = fixtures.frame(spark, copies + others, list(range(206)))
+    rows = [(r["doc_id"], r["text"]) for r in fixtures.local(docs)]
+    linked = jaccard_join._linked
+    monkeypatch.setattr(jaccard_join, "_linked", lambda grouped, n: sent.append(grouped.count()) or linked(grouped, n))
+    got = fixtures.local(jaccard_join.jaccard_components(docs, 16))
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(rows)
+    within, across = sent
+    assert within <= 2 * 206
+    assert across <= 3 * 206  # 26 blocks: all their pairs would be 26 * 206 rows
+
+
 def test_one_of_each_component_stays(spark):
     docs = fixtures.frame(spark)
     rows = [(r["doc_id"], r["text"]) for r in fixtures.local(docs)]
