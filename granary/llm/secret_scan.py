@@ -2,9 +2,10 @@
 
 One Aho-Corasick pass over the text (A-Z lowered) finds keywords; regular expressions are anchored at those hits only.
 Formats that carry a check are then verified: the CRC-32 at the end of platform tokens, the JSON header of web tokens,
-in key blocks the DER length, the length fields of OpenSSH keys, or whole cipher blocks after the header lines of encrypted ones. Long runs of hexadecimal digits have no keyword; they are found by the gaps between other bytes.
+in key blocks the DER length, the length fields of OpenSSH keys, or whole cipher blocks after the header lines of encrypted ones,
+the check digits of card numbers (Luhn) and of account numbers (97). Long runs of hexadecimal digits have no keyword; they are found by the gaps between other bytes.
 
-Kinds in order: assign, access, hex (the base), then github, npm, jwt, pem. Spans are code points, end exclusive.
+Kinds in order: assign, access, hex (the base), then github, npm, jwt, pem, card, iban. Spans are code points, end exclusive.
 Within a kind, matches are leftmost and don't overlap; a match that is too short is dropped but its characters stay used.
 
 Defined results: a null text is empty and has no spans; repeated rows give repeated rows; a null doc_id stays null; other columns
@@ -28,13 +29,13 @@ from pyspark.sql import functions as F
 
 from granary.llm.common import documents, map_batches
 
-KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
+KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem", "card", "iban")
 BASE_KINDS = KINDS[:3]
 #: Keywords (lower case) with the kind whose expression is tried where they start.
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
     "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github", "ghs_": "github", "ghr_": "github",
-    "npm_": "npm", "eyj": "jwt", "-----begin ": "pem",
+    "npm_": "npm", "eyj": "jwt", "-----begin ": "pem", "card": "card", "iban": "iban",
 }
 ANCHORED = {
     "assign": re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
@@ -42,6 +43,8 @@ ANCHORED = {
     "github": re.compile(r"gh[pousr]_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "npm": re.compile(r"npm_([A-Za-z0-9]{36})(?![A-Za-z0-9])"),
     "pem": re.compile(r"-----BEGIN ((?:[A-Z]+ )?PRIVATE KEY)-----\s++((?:[ \t]*[A-Za-z0-9-]+:[^\n]*\n)*+)([A-Za-z0-9+/=\s]++)-----END \1-----"),
+    "card": re.compile(r"""(?i:card)(?i:[\x20_-]?(?:number|num|no\.?))?["']?\x20*+[:=#]?\x20*+["']?((?:[0-9][\x20-]?){12,18}[0-9])(?![\x20-]?[0-9])"""),
+    "iban": re.compile(r"""(?i:iban)["']?\x20*+[:=#]?\x20*+["']?([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"""),
 }
 HEX_LENGTH = 24
 _NO_HEX = ~np.isin(np.arange(256), np.frombuffer(b"0123456789abcdef", np.uint8))
@@ -127,12 +130,31 @@ def _key_fits(m: re.Match) -> bool:
     return _openssh_fits(data) if m[1].startswith("OPENSSH ") else _der_fits(data)
 
 
+#: Beginnings of card numbers and their lengths.
+CARDS = re.compile(r"4[0-9]{12}(?:[0-9]{3}){0,2}|5[1-5][0-9]{14}|2[2-7][0-9]{14}|3[47][0-9]{13}|6[0-9]{15,18}")
+
+
+def _card_fits(m: re.Match) -> bool:
+    """Known beginning and length, and Luhn's check digit."""
+    number = re.sub("[ -]", "", m[1])
+    digits = [int(c) for c in reversed(number)]
+    return bool(CARDS.fullmatch(number)) and (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+
+
+def _iban_fits(m: re.Match) -> bool:
+    """The account number, its first four characters moved to the end and letters read as 10 to 35, is 1 modulo 97."""
+    number = m[1].replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
+
+
 VALID = {
     "assign": lambda m: len(m[2]) >= 6,
     "access": lambda m: len(m[0]) >= 20,
     "github": _crc_fits,
     "npm": _crc_fits,
     "pem": _key_fits,
+    "card": _card_fits,
+    "iban": _iban_fits,
 }
 
 
@@ -235,7 +257,7 @@ def _scan_rows(batch, words) -> dict:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, a count per kind, base_sha256 and spans, one row per row of docs."""
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_github long, n_npm long, n_jwt long, n_pem long"
+    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_github long, n_npm long, n_jwt long, n_pem long, n_card long, n_iban long"
     return map_batches(documents(docs, "doc_id", "text"), schema, _scan_rows, automaton)
 
 

@@ -64,6 +64,19 @@ def test_openssh_and_encrypted_keys():
         assert s.spans(bad, words) == [], bad
 
 
+def test_numbers_with_check_digits():
+    words = s.automaton()
+    for text, kind in {
+        "card number: 4111 1111 1111 1111": "card", "Card=5500-0000-0000-0004": "card", 'cardNo "378282246310005"': "card", "card 6011000990139424": "card",
+        "IBAN: DE89 3704 0044 0532 0130 00": "iban", 'iban="GB82WEST12345698765432"': "iban", "Iban NO9386011117947": "iban",
+    }.items():
+        mark = text.endswith('"')
+        assert s.spans(f"my {text}.", words) == [(3, 3 + len(text) - mark, kind)], text
+    for text in ("card number: 4111 1111 1111 1112", "card 4111111111111111 1", "card 9111111111111111", "cards 1 2 3", "card: 1234", "4111 1111 1111 1111",
+                 "discard 0000000000000000", "IBAN: DE88 3704 0044 0532 0130 00", "iban DE89", "IBAN DE89370400440532013000x"):
+        assert s.spans(text, words) == [], text
+
+
 def test_redact_merges_overlaps():
     text = 'a token = "' + "0123456789abcdef" * 2 + '" b'
     assert s.redact(text, s.spans(text, s.automaton()), "[secret]") == 'a [secret]" b'
@@ -94,6 +107,7 @@ def test_long_texts_take_time_in_proportion():
     whole = f"{head}.eyJzdWIiOiIxIn0." + "a" * 22
     texts = {
         "eyJ" * 350_000: [], "eyJ" * 350_000 + ".eyJzdWIiOiIxIn0." + "a" * 22: [], "-----BEGIN PRIVATE KEY-----" + " " * 1_000_000 + "!": [],
+        "card" + " " * 1_000_000: [], "card: " * 200_000: [], "iban " * 200_000: [], "card" + " 4" * 500_000: [],
         "eyJ " * 100_000 + whole: [(400_000, 400_000 + len(whole), "jwt")],
         "é" + ("g" + "0123456789abcdef" * 2) * 30_000: [(33 * i + 2, 33 * i + 34, "hex") for i in range(30_000)],
     }
