@@ -8,7 +8,7 @@ from granary.operators import changes, relational as rel
 from granary.operators.snapshots import ConflictError, VersionedTables
 from granary.plans import core
 from granary.sources import catalog
-from granary.sources.parquet import TABLES, scan, write_clustered
+from granary.sources.parquet import TABLES, ranges, scan, write_clustered
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +160,26 @@ def test_clustered_lookup_skips_row_groups(spark, tmp_path):
     assert read.count() == 1
 
 
+def test_clustered_ranges_stay_bounded(spark, tmp_path):
+    """A larger table gets more ranges, not larger ones, and a key with most of the rows doesn't land in one task."""
+    import pyarrow.parquet as pq
+
+    df = spark.range(1_000_000).select(F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(-1).alias("k"), "id", F.repeat(F.lit("x"), 300).alias("text"))
+    write_clustered(df, f"file://{tmp_path}/index", ["k"], 2)
+    sizes = [pq.ParquetFile(f).metadata.num_rows for f in (tmp_path / "index").glob("*.parquet")]
+    assert sum(sizes) == 1_000_000 and max(sizes) * 340 < 100e6
+    found = spark.read.parquet(f"file://{tmp_path}/index")
+    assert found.agg(F.count("*"), F.sum("id"), F.countDistinct("id")).first()[:] == (1_000_000, 499_999_500_000, 1_000_000)
+    assert rel.lookup(found, "k", -1).count() == 900_000 and rel.range_scan(found, "k", 100, 130).count() == 3
+
+
+def test_clustered_ranges_follow_the_bytes(spark):
+    empty = spark.createDataFrame([], "k long, text string, more array<int>")
+    assert ranges(empty, 8) == 8
+    wide = spark.range(1000).select("id", F.lit(None).cast("string").alias("none"), F.array(*[F.repeat(F.lit("é"), 50_000)] * 2).alias("more"))
+    assert ranges(wide, 1) == 3
+
+
 def test_create_table_and_its_errors(spark):
     catalog.create_table(spark, "made_once", "id INT, name STRING")
     try:
